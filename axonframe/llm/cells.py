@@ -2,8 +2,8 @@
 
 A bucket of n members is dealt into k = ceil(n / width) lots by a hash of the member, and
 every unordered pair of lots becomes one cell, so no task ever holds more than
-2 * width members and a bucket that holds a third of all rows is shared out over the
-whole cluster. Each pair of members meets in exactly one cell of their bucket.
+2 * width members of one bucket and a bucket that holds a third of all rows is shared out
+over the whole cluster. Each pair of members meets in exactly one cell of their bucket.
 """
 
 from __future__ import annotations
@@ -14,17 +14,23 @@ from pyspark.sql import functions as F
 from .common import cut, fan_out, session_of
 
 
-def in_cells(members: DataFrame, width: int) -> DataFrame:
+def dealt(members: DataFrame, width: int, own: str | None = None) -> DataFrame:
     """``members`` (bucket: long, member: long, ...) to the same rows dealt into cells:
-    adds ``cell`` (long), ``lot``, ``lot_a`` and ``lot_b`` (int), partitioned and sorted by
-    cell. Buckets of one member go: they have nothing to compare. Within a cell with
-    lot_a < lot_b only pairs across the two lots are new; with lot_a = lot_b all are."""
+    adds ``cell`` (long), ``lot``, ``lot_a`` and ``lot_b`` (int). Buckets of one member go:
+    they have nothing to compare; with ``own``, a boolean column, those without an own
+    member as well. Within a cell with lot_a < lot_b only pairs across the two lots are
+    new; with lot_a = lot_b all are."""
     members = cut(members)
-    sizes = members.groupBy("bucket").count().filter("count > 1").select("bucket", F.ceil(F.col("count") / width).cast("int").alias("lots"))
-    dealt = members.join(sizes, "bucket").withColumn("lot", F.pmod(F.xxhash64("member", F.lit(7)), F.col("lots")).cast("int"))
-    other = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("other"))
-    cells = other.select(
-        *members.columns, "lot", F.least("lot", "other").alias("lot_a"), F.greatest("lot", "other").alias("lot_b"),
-        F.xxhash64("bucket", F.least("lot", "other"), F.greatest("lot", "other")).alias("cell"),
-    )
-    return cells.repartition(fan_out(session_of(members)), "cell").sortWithinPartitions("cell", "bucket", "lot_a", "lot_b", "member")
+    owned = F.max(own if own else F.lit(True)).alias("owned")
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("count"), owned).filter("count > 1 and owned")
+    # Cut, so that the join has two plain exchanges and a hot bucket's rows can be split.
+    sizes = cut(sizes.select("bucket", F.ceil(F.col("count") / width).cast("int").alias("lots")))
+    lot = F.pmod(F.xxhash64("member", F.lit(7)), F.col("lots")).cast("int")
+    other = members.join(sizes, "bucket").select("*", lot.alias("lot"), F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("other"))
+    low, high = F.least("lot", "other"), F.greatest("lot", "other")
+    return other.select(*members.columns, "lot", low.alias("lot_a"), high.alias("lot_b"), F.xxhash64("bucket", low, high).alias("cell"))
+
+
+def arranged(cells: DataFrame) -> DataFrame:
+    """Each cell's rows together: partitioned and sorted by cell."""
+    return cells.repartition(fan_out(session_of(cells)), "cell").sortWithinPartitions("cell", "bucket", "lot_a", "lot_b", "member")
