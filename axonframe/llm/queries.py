@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
+from .embedding_dedup import near_vectors
+from .mixing import mixed_sizes
 from .packing import pack
+from .simhash import near_duplicates
+from .substring import repeated_lines
 from .token_count import count_tokens
 
 
@@ -17,6 +21,14 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(read(spark, sf_dir, "embeddings"))
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), with_ids=False).drop("ids")
 
@@ -25,8 +37,20 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_lines(read(spark, sf_dir, "documents")).drop("doc_key")
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_sizes(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_embedding_dedup": op3_embedding_dedup,
+    "op6_simhash": op6_simhash,
     "op7_packing": op7_packing,
     "op8_token_counts": op8_token_counts,
+    "op9_substring_dedup": op9_substring_dedup,
+    "op10_mixing": op10_mixing,
 }
 ORACLE_SQL: dict[str, str] = {}
