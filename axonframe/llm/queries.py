@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import nearest
 from .common import read
 from .embedding_dedup import near_vectors
+from .licenses import notices
 from .mixing import mixed_sizes
 from .packing import pack
+from .quality import judge
 from .simhash import near_duplicates
 from .substring import repeated_lines
 from .token_count import count_tokens
+from .toxicity import severity
 
 
 def vocabulary(name: str) -> str:
@@ -21,10 +25,26 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read(spark, sf_dir, "embeddings"))
+
+
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(read(spark, sf_dir, "embeddings"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return notices(read(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return severity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -46,7 +66,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
+    "op2_nearest": op2_nearest,
     "op3_embedding_dedup": op3_embedding_dedup,
+    "op4_licenses": op4_licenses,
+    "op5_toxicity": op5_toxicity,
     "op6_simhash": op6_simhash,
     "op7_packing": op7_packing,
     "op8_token_counts": op8_token_counts,
