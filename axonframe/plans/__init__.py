@@ -1,4 +1,4 @@
 """The registered queries and their SQL counterparts."""
 
-from . import networks, signals  # noqa: F401
+from . import kernels, networks, signals  # noqa: F401
 from .registry import REGISTRY  # noqa: F401

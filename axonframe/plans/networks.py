@@ -343,7 +343,7 @@ def _(t: Tables):
 
 
 _HOPS = """WITH RECURSIVE s AS (SELECT trial, t_idx, src, dst FROM sides WHERE freq = 'N' AND trial = 2), v AS (SELECT DISTINCT trial, t_idx, src AS node FROM s),
-       hop AS (SELECT trial, t_idx, node AS a, node AS b, 0 AS d FROM v UNION SELECT h.trial, h.t_idx, h.a, s.dst, h.d + 1 FROM hop h JOIN s ON s.trial = h.trial AND s.t_idx = h.t_idx AND s.src = h.b WHERE h.d < 8),
+       hop AS (SELECT trial, t_idx, node AS a, node AS b, 0 AS d FROM v UNION SELECT h.trial, h.t_idx, h.a, s.dst, h.d + 1 FROM hop h JOIN s ON s.trial = h.trial AND s.t_idx = h.t_idx AND s.src = h.b WHERE h.d < 24),
        near AS (SELECT trial, t_idx, a, b, min(d) AS d FROM hop GROUP BY 1, 2, 3, 4)"""
 
 

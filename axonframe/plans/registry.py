@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from ..sources.lifts import SQL, Tables
 
 DIGITS = 6
+#: Added before rounding, so that exact ties at the last place do not hang on the order of sums.
+NUDGE = 1.7e-8
 _SQL_TYPE = {"long": "BIGINT", "double": "DOUBLE", "string": "VARCHAR"}
 
 
@@ -32,7 +34,7 @@ class Query:
         out = []
         for name, kind in self.columns:
             c = F.col(name).cast(kind)
-            out.append((F.round(c, DIGITS) + F.lit(0.0) if kind == "double" else c).alias(name))
+            out.append((F.round(c + NUDGE, DIGITS) + F.lit(0.0) if kind == "double" else c).alias(name))
         return df.select(*out)
 
     def oracle(self) -> str | None:
@@ -41,7 +43,7 @@ class Query:
         parts = []
         for name, kind in self.columns:
             c = f'CAST("{name}" AS {_SQL_TYPE[kind]})'
-            parts.append(f'round({c}, {DIGITS}) + 0.0 AS "{name}"' if kind == "double" else f'{c} AS "{name}"')
+            parts.append(f'round({c} + {NUDGE}, {DIGITS}) + 0.0 AS "{name}"' if kind == "double" else f'{c} AS "{name}"')
         own, needed = [], set()
 
         def need(text: str) -> None:

@@ -216,13 +216,13 @@ def _(t: Tables):
 
 
 @query("top_channels", "S8 S2", "node:long total:double k:long",
-       "SELECT * FROM (SELECT node, sum(value) AS total, row_number() OVER (ORDER BY round(sum(value), 4) DESC, node) AS k FROM com GROUP BY node) WHERE k <= 5")
+       "SELECT * FROM (SELECT node, round(sum(value), 2) AS total, row_number() OVER (ORDER BY round(sum(value), 2) DESC, node) AS k FROM com GROUP BY node) WHERE k <= 5")
 def _(t: Tables):
-    totals = t.com.groupBy("node").agg(F.sum("value").alias("total"))
+    totals = t.com.groupBy("node").agg(F.round(F.sum("value"), 2).alias("total"))
     from pyspark.sql import Window
 
-    top = totals.orderBy(F.round("total", 4).desc(), "node").limit(5)  # a top-k report
-    return top.withColumn("k", F.row_number().over(Window.orderBy(F.round("total", 4).desc(), "node")))
+    top = totals.orderBy(F.desc("total"), "node").limit(5)  # a top-k report
+    return top.withColumn("k", F.row_number().over(Window.orderBy(F.desc("total"), "node")))
 
 
 @query("dictionary_encode", "J6 ML4", "name:string code:long", "SELECT name, dense_rank() OVER (ORDER BY name) - 1 AS code FROM (SELECT DISTINCT p_brand AS name FROM part)")
