@@ -192,6 +192,8 @@ class MergeTransducer:
         for k in range(longest):
             if sizes[live[0]] <= k:  # rows are sorted by size: the front ones are done
                 gone = int(np.searchsorted(sizes, k, side="right"))
+                if gone == rows:
+                    break
                 live, state = np.arange(gone, rows), state[gone - rows :]
             symbols = block[live, k]
             to = self.table[state, self.column[symbols]] - 1

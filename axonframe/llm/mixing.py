@@ -68,14 +68,14 @@ def sample(
     doc_id and then by all plain columns; rows alike in all are interchangeable. A source
     of no words: target 0, no copies. Empty table: no rows. Columns called like the added
     ones are replaced. Reruns agree: all randomness is a hash of seed, source and doc_id."""
-    key, none, band, part, place, rate, shift, total, goal = fresh(docs, "source", "no_source", "band", "part", "place", "rate", "shift", "size", "target")
+    key, none, band, part, parts, place, rate, shift, total, goal = fresh(docs, "source", "no_source", "band", "part", "parts", "place", "rate", "shift", "size", "target")
 
     def keyed(df: DataFrame) -> DataFrame:
         n = F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0))
         spread = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))), 1, 8), 16, 10).cast("long")
         return df.withColumns({
             key: F.coalesce(F.col(source).cast("string"), F.lit("")), none: F.col(source).isNull(),
-            total: n, band: F.floor(F.lit(4.0) * F.log2(n + F.lit(1))).cast("int"), part: spread,
+            total: n, band: F.floor(F.lit(8.0) * F.sqrt(F.sqrt(n.cast("double")))).cast("int"), part: spread,
         })
 
     narrow = keyed(stats if stats is not None else docs)
@@ -88,7 +88,7 @@ def sample(
     wide = max(1.0, float(n_rows)) ** 0.5
     # (source, band) to its number of cells and what its sampling needs.
     plan = bands.join(share_of, [key, none]).select(
-        key, none, band, F.ceil(F.col("n_rows") / F.lit(wide)).cast("long").alias("parts"), F.col("source_size").alias(total), F.col("target").alias(goal),
+        key, none, band, F.ceil(F.col("n_rows") / F.lit(wide)).cast("long").alias(parts), F.col("source_size").alias(total), F.col("target").alias(goal),
         F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias(rate),
         _fraction(F.lit(str(seed)), F.lit("offset"), F.when(F.col(none), F.lit("null")).otherwise(F.concat(F.lit("="), key))).alias(shift),
     )
@@ -96,7 +96,7 @@ def sample(
     small = F.broadcast(plan) if plan.count() <= BROADCAST_ROWS else plan
 
     def in_cells(df: DataFrame) -> DataFrame:
-        return df.drop(total).join(small, [key, none, band]).withColumn(part, F.col(part) % F.col("parts"))
+        return df.drop(total).join(small, [key, none, band]).withColumn(part, F.col(part) % F.col(parts))
 
     cells = in_cells(narrow).groupBy(key, none, band, part).count()
     earlier = Window.partitionBy(key, none).orderBy(band, part).rowsBetween(Window.unboundedPreceding, -1)
