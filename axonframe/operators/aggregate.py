@@ -22,11 +22,13 @@ def quantile(df: DataFrame, by: list[str], q: float, name: str = "thr", value: s
 def mquantile(df: DataFrame, by: list[str], q: float, value: str = "value", alpha: float = 0.4, beta: float = 0.4) -> DataFrame:
     """Quantile with plotting positions (alpha, beta): order statistics k and k + 1 around
     n * q + m, m = alpha + q * (1 - alpha - beta)."""
-    r = df.filter(F.col(value).isNotNull()).withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy(value))).withColumn("n", F.count("*").over(Window.partitionBy(*by)))
-    at = F.col("n") * q + (alpha + q * (1 - alpha - beta))
-    low = F.floor(F.greatest(F.lit(1.0), F.least(at, F.col("n") - F.lit(1.0))))
-    r = r.withColumn("low", low).withColumn("g", F.greatest(F.lit(0.0), F.least(at - F.col("low"), F.lit(1.0))))
-    return r.groupBy(*by).agg((F.sum(F.when(F.col("k") == F.col("low"), (1 - F.col("g")) * F.col(value)).when(F.col("k") == F.col("low") + 1, F.col("g") * F.col(value)))).alias("thr"))
+    w = Window.partitionBy(*by)
+    r = df.filter(F.col(value).isNotNull()).withColumn("_k", F.row_number().over(w.orderBy(value))).withColumn("_n", F.count("*").over(w))
+    at = F.col("_n") * q + (alpha + q * (1 - alpha - beta))
+    low = F.floor(F.greatest(F.lit(1.0), F.least(at, F.col("_n") - F.lit(1.0))))
+    r = r.withColumn("_low", low).withColumn("_g", F.greatest(F.lit(0.0), F.least(at - F.col("_low"), F.lit(1.0))))
+    part = F.when(F.col("_k") == F.col("_low"), (1 - F.col("_g")) * F.col(value)).when(F.col("_k") == F.col("_low") + 1, F.col("_g") * F.col(value))
+    return r.groupBy(*by).agg(F.sum(part).alias("thr"))
 
 
 def binarise(df: DataFrame, thresholds: DataFrame, on: list[str], strict: bool = False) -> DataFrame:
