@@ -141,3 +141,32 @@ def autoregressive_pair(n: int, fs: float, coupling: float, until: float, seed:
         x[:, t] = 0.55 * x[:, t - 1] - 0.8 * x[:, t - 2] + e[:, t]
         x[0, t] += (coupling if t / fs <= until else 0.0) * x[1, t - 1]
     return x
+
+
+def factorised(x: np.ndarray, k: int, rounds: int = 200, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Non-negative factors (w, h) of x by multiplicative updates."""
+    rng = np.random.default_rng(seed)
+    w, h = rng.random((x.shape[0], k)) + 0.1, rng.random((k, x.shape[1])) + 0.1
+    for _ in range(rounds):
+        h *= (w.T @ x) / (w.T @ w @ h + 1e-12)
+        w *= (x @ h.T) / (w @ h @ h.T + 1e-12)
+    return w, h
+
+
+def time_frequency_factors(maps: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """Time-frequency maps (keys, freq, t_idx, value) to (keys, component, freq, weight): one
+    map is one Arrow group, bounded by the recording's axes."""
+    types = dict(maps.dtypes)
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        freq, t = (table.column(c).to_numpy() for c in ("freq", "t_idx"))
+        names, i = np.unique(freq, return_inverse=True)
+        x = np.zeros((len(names), len(np.unique(t))))
+        x[i, np.unique(t, return_inverse=True)[1]] = table.column("value").to_numpy()
+        w, _ = factorised(x, k)
+        n = w.size
+        out = {c: pa.array([v.as_py()] * n, table.schema.field(c).type) for c, v in zip(keys, key)}
+        return pa.table(out | {"component": pa.array(np.tile(np.arange(k), len(names))), "freq": pa.array(np.repeat(names, k)), "weight": pa.array(w.ravel())})
+
+    schema = ", ".join([f"{c} {types[c]}" for c in keys] + ["component long, freq double, weight double"])
+    return maps.select(*keys, "freq", "t_idx", "value").groupBy(*keys).applyInArrow(run, schema)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,3 +77,22 @@ def triggered_average(df: DataFrame, events: DataFrame, reach: int, series: list
 def local_peaks(df: DataFrame, by: list[str], axis: str, value: str = "value") -> DataFrame:
     w = over(by, axis)
     return df.withColumn("_l", F.lag(value).over(w)).withColumn("_r", F.lead(value).over(w)).filter((F.col(value) > F.col("_l")) & (F.col(value) > F.col("_r"))).drop("_l", "_r")
+
+
+def kernel_weights(samples: int, kind: str = "hanning") -> list[float]:
+    """Smoothing weights that sum to 1: square or hanning."""
+    if kind == "square":
+        w = [1.0] * samples
+    elif kind == "hanning":
+        w = [0.5 - 0.5 * math.cos(2 * math.pi * (k + 1) / (samples + 1)) for k in range(samples)]
+    else:
+        raise ValueError(kind)
+    return [v / sum(w) for v in w]
+
+
+def weighted(df: DataFrame, weights: list[float], by: list[str] = SERIES, value: str = "value", name: str = "smooth") -> DataFrame:
+    """Centred weighted sum of neighbouring samples, zeros beyond the ends."""
+    w, half, total = over(by), len(weights) // 2, F.lit(0.0)
+    for k, weight in enumerate(weights):
+        total = total + weight * F.coalesce(F.lead(value, k - half).over(w), F.lit(0.0))
+    return df.withColumn(name, total)

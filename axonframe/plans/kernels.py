@@ -151,3 +151,14 @@ def _(t: Tables):
 @query("cluster_silhouette", "ML2", "k:long silhouette:double")
 def _(t: Tables):
     return M.cluster_sweep(t.table("embeddings"), "embedding", [2, 4])
+
+
+@query("svm_decoding", "ML6", "accuracy:double")
+def _(t: Tables):
+    return M.linear_svm_score(t.table("embeddings").withColumn("odd", F.col("label") % 2), "vec_id", "embedding", "odd")
+
+
+@query("tf_factors", "K34", "trial:long node:long component:long freq:double weight:double")
+def _(t: Tables):
+    tf = P.power(P.time_frequency(_signals(t).filter("trial < 5"), ["trial", "node"], FS, FREQS))
+    return P.time_frequency_factors(tf, ["trial", "node"], 2)

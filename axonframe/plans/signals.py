@@ -311,6 +311,31 @@ def _(t: Tables):
     return W.smoothed(t.sig, 5)
 
 
+_HANNING = W.kernel_weights(5)
+
+
+@query("smooth_hanning", "K4 K5 K35", KT + " smooth:double",
+       "SELECT node, freq, trial, t_idx, " + " + ".join(f"{w!r} * coalesce(lead(value, {k - 2}) OVER w, 0)" for k, w in enumerate(_HANNING)) + " AS smooth FROM sig WINDOW w AS (PARTITION BY node, freq, trial ORDER BY t_idx)")
+def _(t: Tables):
+    return W.weighted(t.sig, _HANNING)
+
+
+@query("session_catalogue", "IO5 IO20 IO14 D1 F5", "trial:long stim:long trial_type:long response:long k:long",
+       "SELECT trial, stim, trial_type, response, row_number() OVER (PARTITION BY trial_type ORDER BY trial) - 1 AS k FROM trials")
+def _(t: Tables):
+    from pyspark.sql import Window
+
+    return t.trials.withColumn("k", F.row_number().over(Window.partitionBy("trial_type").orderBy("trial")) - 1)
+
+
+@query("channel_labels", "IO10 C3 IO21", "label:string n:long",
+       "SELECT n_name || ' (' || s_suppkey || ')' AS label, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN lineitem ON l_suppkey = s_suppkey GROUP BY 1")
+def _(t: Tables):
+    counts = t.table("lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count("*").alias("n"))
+    s = t.table("supplier").join(F.broadcast(t.table("nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+    return counts.join(s, "s_suppkey").select(F.format_string("%s (%d)", "n_name", "s_suppkey").alias("label"), "n")
+
+
 @query("circular_shift", "W11 W12", KT + " value:double", "SELECT node, freq, trial, (t_idx + 5) % 24 AS t_idx, value FROM sig")
 def _(t: Tables):
     return W.rolled(t.sig, 5, 24)
