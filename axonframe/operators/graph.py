@@ -4,6 +4,7 @@ form is joins and sums, and what needs a whole frame runs on one frame's Arrow g
 from __future__ import annotations
 
 from collections import deque
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -205,7 +206,7 @@ def rewired(edges: DataFrame, frame: list[str], swaps: int, seed: int) -> DataFr
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         rows = sorted(zip(table.column("src").to_pylist(), table.column("dst").to_pylist(), table.column("weight").to_pylist()))
-        rng = np.random.default_rng([seed, *[abs(hash(str(k.as_py()))) % 1000 if not isinstance(k.as_py(), int) else k.as_py() for k in key][-1:]])
+        rng = np.random.default_rng([seed, crc32(repr([k.as_py() for k in key]).encode())])
         e = [list(r[:2]) for r in rows]
         have = {frozenset(x) for x in e}
         for _ in range(swaps * len(e) if len(e) > 1 else 0):
