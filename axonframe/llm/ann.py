@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fan_out
+from .common import cut, fan_out, released
 from .embedding_dedup import as_matrix, usable
 
 #: Ranks in a block, and most queries that one task compares with a block.
@@ -188,12 +188,12 @@ def nearest(
     nodes = ids.groupBy("node").agg(F.first("embedding").alias("embedding"), F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"), F.max("asks").alias("asks"))
     nodes = cut(nodes)
     n = nodes.count()
-    sums = nodes.select("embedding").mapInArrow(_moments, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).orderBy("k").collect()
+    sums = nodes.select("embedding").mapInArrow(released(_moments), "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).orderBy("k").collect()
     m = np.array([r.v for r in sums]).reshape(lengths["n"] + 1, -1)
     mean = m[0, 1:] / n
     order = Curves(mean, m[1:, 1:] / n - np.outer(mean, mean), curves, dims, bits, seed)
     window = max(least_window, int(np.ceil(share * n)))
-    placed = nodes.select("node", "asks", "embedding").mapInArrow(_placed(order), "curve int, place long, node long, asks boolean, embedding array<float>")
+    placed = nodes.select("node", "asks", "embedding").mapInArrow(released(_placed(order)), "curve int, place long, node long, asks boolean, embedding array<float>")
     # Cut: partitions and their order are the same for the sizes and for the ranks.
     parts = cut(placed.repartitionByRange(fan_out(vectors.sparkSession), "curve", "place", "node").sortWithinPartitions("curve", "place", "node"))
     sizes = parts.groupBy(F.spark_partition_id().alias("part"), "curve").count().collect()  # one row a partition and curve in it
@@ -204,7 +204,7 @@ def nearest(
         seen[curve] += count
     asking = nodes.filter("asks").count()
     chunks = max(1, -(-asking * min(n, 2 * window + BLOCK) // max(1, n) // QUERIES))
-    cells = parts.mapInArrow(_ranked(offsets, window, n, chunks), "cell long, query boolean, rank long, node long, embedding array<float>")
+    cells = parts.mapInArrow(released(_ranked(offsets, window, n, chunks)), "cell long, query boolean, rank long, node long, embedding array<float>")
     found = cells.groupBy("cell").applyInArrow(_answers(window, k + 1), "asked long, found long, score double").distinct()
     top = found.withColumn("r", F.row_number().over(Window.partitionBy("asked").orderBy("score", "found"))).filter(F.col("r") <= 4 * (k + 1))
     named = top.join(nodes.select(F.col("node").alias("found"), F.explode("ids").alias("vec_id")), "found")

@@ -58,6 +58,35 @@ def text_of(row_text) -> str:
     return row_text if row_text is not None else ""
 
 
+#: Rows that go to a Python worker at a time; long texts make even few rows large.
+BATCH_ROWS = 1024
+
+
+def released(run):
+    """``run`` (a function over Arrow batches) that gives its memory back to the system when
+    a partition ends: workers live on, and share their executor's memory with the next.
+    It also sets the session's batches to ``BATCH_ROWS`` rows."""
+    SparkSession.active().conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+
+            import pyarrow as pa
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # not glibc
+                pass
+
+    return wrapped
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cells import arranged, dealt
-from .common import cut
+from .common import cut, released
 from .components import components
 from .simhash import forest, grouped
 
@@ -222,10 +222,10 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, tables: int = 20, hashe
     slim = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     slim = slim.withColumn("node", F.when(usable(), F.xxhash64("embedding")))
     nodes = cut(slim.filter("node is not null").groupBy("node").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("embedding").alias("embedding")))
-    members = nodes.select("node", "embedding").mapInArrow(_members(hasher), "bucket long, member long, own boolean")
+    members = nodes.select("node", "embedding").mapInArrow(released(_members(hasher)), "bucket long, member long, own boolean")
     cells = dealt(members, CELL, own="own").join(nodes.select(F.col("node").alias("member"), "copies", "embedding"), "member")
     cells = arranged(cells.select("cell", "bucket", "member", "own", "lot", "lot_a", "lot_b", "copies", "embedding"))
-    found = cut(cells.mapInArrow(_linked(hasher, least), "link boolean, a long, b long"))
+    found = cut(cells.mapInArrow(released(_linked(hasher, least)), "link boolean, a long, b long"))
     links = found.filter("not link").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("links"))
     roots = components(found.filter("link").select("a", "b"))
     own = nodes.drop("embedding").join(roots, "node", "left").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import released, text_of
 
 # Public license notices, by SPDX identifier.
 TEMPLATES: dict[str, list[str]] = {
@@ -219,4 +219,4 @@ def notices(docs: DataFrame, templates: dict[str, list[str]] | None = None) -> D
     shingles; ties to the earlier. Very long texts: read whole. Empty table: no rows. Other
     columns: ignored. It is one map over the scan: no shuffle."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(_scanned(templates or TEMPLATES), "doc_id long, license string, start long, end long, containment double")
+    return slim.mapInArrow(released(_scanned(templates or TEMPLATES)), "doc_id long, license string, start long, end long, containment double")

@@ -10,12 +10,15 @@ States are determinised as texts need them and kept for the life of a worker.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable
 
 import numpy as np
 
 #: Symbols are bytes; where a vocabulary marks word ends, a word's last byte is 256 more.
 END = 256
+#: Odd multiplier that spreads keys over a hash table.
+_SPREAD = 0x9E3779B97F4A7C15
 
 
 def byte_letters() -> dict[str, int]:
@@ -52,7 +55,7 @@ class MergeTransducer:
     The vocabulary must number its tokens in the order of their merges, single symbols
     first, as byte-level vocabularies do."""
 
-    MOST_STATES = 250_000
+    MOST_STATES = 160_000
 
     def __init__(self, vocabulary: dict[str, int], merges: list, suffix: str = ""):
         letters = byte_letters()
@@ -90,12 +93,44 @@ class MergeTransducer:
         self.reset()
 
     def reset(self) -> None:
-        start = ((0, -1, 0),)
+        #: A place is one number: trie node, last token + 1, tokens counted since + 512.
+        start = array("q", [512]).tobytes()
         self.number, self.meaning = {start: 0}, [start]
-        #: Last token of a state's prefix; next state + 1 by state and symbol column.
+        #: Last token of a state's prefix.
         self.last = np.full(self.MOST_STATES + 1, -1, dtype=np.int32)
-        self.column, self.columns = np.full(2 * END, -1, dtype=np.int16), 0
-        self.table = np.zeros((self.MOST_STATES + 1, 128), dtype=np.int32)
+        self._resize(16)
+
+    def _resize(self, bits: int) -> None:
+        """Transitions as a hash table of 2^bits places, probed in order: state and symbol to
+        the next state. It follows the number of transitions, not of states times symbols."""
+        old = (self.keys[self.keys >= 0], self.next[self.keys >= 0]) if hasattr(self, "keys") and len(self.meaning) > 1 else None
+        self.bits, self.used = bits, 0
+        self.keys, self.next = np.full(1 << bits, -1, dtype=np.int64), np.full(1 << bits, -1, dtype=np.int32)
+        if old is not None:
+            for key, to in zip(*(v.tolist() for v in old)):
+                self._put(key, to)
+
+    def _put(self, key: int, to: int) -> None:
+        place = (key * _SPREAD & 0xFFFFFFFFFFFFFFFF) >> (64 - self.bits)
+        while self.keys[place] >= 0:
+            place = place + 1 & (1 << self.bits) - 1
+        self.keys[place], self.next[place] = key, to
+        self.used += 1
+        if self.used * 5 > 2 << self.bits:
+            self._resize(self.bits + 1)
+
+    def _get(self, keys: np.ndarray) -> np.ndarray:
+        """Next states, -1 where there is no transition yet."""
+        place = (keys.astype(np.uint64) * np.uint64(_SPREAD) >> np.uint64(64 - self.bits)).astype(np.int64)
+        there = self.keys[place]
+        out = self.next[place]
+        seek = np.flatnonzero((there != keys) & (there >= 0))
+        while len(seek):
+            place[seek] = place[seek] + 1 & (1 << self.bits) - 1
+            there = self.keys[place[seek]]
+            out[seek] = self.next[place[seek]]
+            seek = seek[(there != keys[seek]) & (there >= 0)]
+        return out
 
     def _apart(self, a: int, b: int, limit: int) -> bool:
         """Whether no merge across the border of a|b comes before ``limit``. Merges are
@@ -120,7 +155,7 @@ class MergeTransducer:
             return True
         key = last << 20 | token
         if (found := self.known.get(key)) is None:
-            if len(self.known) > 2_000_000:
+            if len(self.known) > 150_000:
                 self.known.clear()
             found = self.known[key] = self._apart(last, token, 1 << 60)
         return found
@@ -128,29 +163,23 @@ class MergeTransducer:
     def compile(self, state: int, symbol: int) -> int:
         """The state after ``state`` on ``symbol``."""
         here, ends, change, child = [], -1, 0, self.child
-        for node, last, count in self.meaning[state]:
-            if (to := child.get(node << 9 | symbol)) is None:
+        for place in array("q", self.meaning[state]):
+            if (to := child.get(place >> 30 << 9 | symbol)) is None:
                 continue
-            if ends < 0 and (token := self.token[to]) >= 0 and self.fits(last, token):
-                ends, change = token, count + 1
+            if ends < 0 and (token := self.token[to]) >= 0 and self.fits((place >> 10 & 0xFFFFF) - 1, token):
+                ends, change = token, (place & 1023) - 511
             if self.open[to]:
-                here.append((to, last, count))
-        here = [(n, t, c - change) for n, t, c in here]
-        here.append((0, ends, 0))
-        meaning = tuple(here)
+                here.append(to << 30 | place & 0x3FFFFFFF)
+        here = [p - change for p in here]
+        here.append((ends + 1) << 10 | 512)
+        meaning = array("q", here).tobytes()
         if (to := self.number.get(meaning)) is None:
             to = self.number[meaning] = len(self.meaning)
             self.meaning.append(meaning)
             self.last[to] = ends
-        self.table[state, self.column[symbol]] = to + 1
+        self._put(state << 9 | symbol, to)
         return to
 
-    def _columns(self, symbols: np.ndarray) -> None:
-        for x in np.flatnonzero(np.bincount(symbols, minlength=2 * END) * (self.column < 0)):
-            if self.columns == self.table.shape[1]:
-                self.table = np.concatenate([self.table, np.zeros((len(self.table), 64), dtype=np.int32)], axis=1)
-            self.column[x], self.columns = self.columns, self.columns + 1
-
     def encode_many(self, words: list[bytes], mark_end: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Encodings of ``words``, side by side: (tokens, number of tokens of each word).
         All words take a step of the transducer together; encodings are then read back
@@ -186,7 +215,6 @@ class MergeTransducer:
         rows, longest = block.shape
         if len(self.meaning) + 4096 > self.MOST_STATES:
             self.reset()
-        self._columns(block.ravel())
         live, state = np.arange(rows), np.zeros(rows, dtype=np.int32)
         ends = np.zeros((rows, longest), dtype=np.int32)
         for k in range(longest):
@@ -196,7 +224,7 @@ class MergeTransducer:
                     break
                 live, state = np.arange(gone, rows), state[gone - rows :]
             symbols = block[live, k]
-            to = self.table[state, self.column[symbols]] - 1
+            to = self._get(state.astype(np.int64) << 9 | symbols)
             if (new := to < 0).any():
                 pairs, back = np.unique(state[new].astype(np.int64) << 9 | symbols[new], return_inverse=True)
                 if len(self.meaning) + len(pairs) > self.MOST_STATES:  # too many at once: smaller blocks

@@ -27,14 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_of
+from .common import released, text_of
 from .merges import Memo, MergeTransducer
 
 #: Words of Latin-1 letters, then ASCII signs other than digits and the quote.
 LETTERS_AND_SIGNS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 #: Bound on the words that a worker keeps with their ids.
-MOST_WORDS = 350_000
+MOST_WORDS = 120_000
 
 
 class WordIds:
@@ -255,7 +255,7 @@ def _packed(path: str, closing: int, capacity: int, block_tokens: int, with_ids:
 
 
 def pack(
-    docs: DataFrame, vocabulary: str, capacity: int = 2048, closing_id: int = 1, block_tokens: int = 4_000_000, with_ids: bool = True
+    docs: DataFrame, vocabulary: str, capacity: int = 2048, closing_id: int = 1, block_tokens: int = 1_000_000, with_ids: bool = True
 ) -> DataFrame:
     """Pack ``docs`` (doc_id, text; other columns are ignored) into sequences of at most
     ``capacity`` tokens: one row for each piece with doc_id, start, length, ids_crc32,
@@ -270,4 +270,4 @@ def pack(
     if capacity & (capacity - 1) or capacity < 1:
         raise ValueError("capacity must be a power of two")
     columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
-    return docs.select(*columns).mapInArrow(_packed(vocabulary, closing_id, capacity, block_tokens, with_ids), PIECES)
+    return docs.select(*columns).mapInArrow(released(_packed(vocabulary, closing_id, capacity, block_tokens, with_ids)), PIECES)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, text_of
+from .common import cut, fresh, released, text_of
 
 #: Most labelled rows that the classifier is fitted on, in the order of a hash of their id.
 SAMPLE_ROWS = 20_000
@@ -93,7 +93,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, seed
     some = labels.filter("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     some = some.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id", "quality").limit(sample_rows)
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id")
-    rows = joined.select("quality", "text").mapInArrow(_described(1, [0]), "quality int, x array<double>").limit(2 * sample_rows).collect()
+    rows = joined.select("quality", "text").mapInArrow(released(_described(1, [0])), "quality int, x array<double>").limit(2 * sample_rows).collect()
     y = np.array([r.quality for r in rows], dtype=float)
     if not len(y) or y.min() == y.max():
         return None
@@ -123,7 +123,7 @@ def with_evidence(docs: DataFrame, model: Logistic | None, name: str, keep_text:
     at = docs.columns.index("text")
     kept = [f for i, f in enumerate(docs.schema.fields) if keep_text or i != at]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`{name}` double"])
-    return docs.mapInArrow(_evidence(model, at, name, keep_text), schema)
+    return docs.mapInArrow(released(_evidence(model, at, name, keep_text)), schema)
 
 
 def _strength(sites: DataFrame, parent: str) -> float:

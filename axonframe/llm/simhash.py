@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from .cells import arranged, dealt
-from .common import cut, fresh, text_of, unsigned_hex
+from .common import cut, fresh, released, text_of, unsigned_hex
 from .components import components
 
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
@@ -126,8 +126,8 @@ def keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = batch.column(0).to_numpy(zero_copy_only=False)
-        for at in range(0, len(prints), 20_000):
-            some = prints[at : at + 20_000]
+        for at in range(0, len(prints), 4096):
+            some = prints[at : at + 4096]
             who, key = keys(some.view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(some[who])], ["bucket", "member"])
 
@@ -234,7 +234,7 @@ def fingerprinted(docs: DataFrame, name: str, words_in_shingle: int = 4, seed: i
     """``docs`` with the fingerprint (long, the bits as they are) in place of its text."""
     fields = [f for f in docs.schema.fields if f.name != text]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"`{name}` long"])
-    return docs.mapInArrow(_fingerprints(words_in_shingle, seed, docs.columns.index(text), name), schema)
+    return docs.mapInArrow(released(_fingerprints(words_in_shingle, seed, docs.columns.index(text), name)), schema)
 
 
 def classes(prints: DataFrame, max_bits: int = 4) -> DataFrame:
@@ -245,8 +245,8 @@ def classes(prints: DataFrame, max_bits: int = 4) -> DataFrame:
     if max_bits > 4:
         raise ValueError("the segments' keys are complete for at most 4 differing bits")
     least = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    members = least.select("fp").mapInArrow(_bucketed, "bucket long, member long")
-    links = arranged(dealt(members, CELL)).select("cell", "bucket", "member", "lot", "lot_a", "lot_b").mapInArrow(_verified(max_bits), "a long, b long")
+    members = least.select("fp").mapInArrow(released(_bucketed), "bucket long, member long")
+    links = arranged(dealt(members, CELL)).select("cell", "bucket", "member", "lot", "lot_a", "lot_b").mapInArrow(released(_verified(max_bits)), "a long, b long")
     roots = components(links)
     # Few fingerprints have links; the others are their own class.
     linked = least.join(roots.withColumnRenamed("node", "fp"), "fp")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from .common import cut, fresh, text_of
+from .common import cut, fresh, released, text_of
 
 #: Lines of fewer words are never removed.
 LEAST_WORDS = 5
@@ -74,7 +74,7 @@ def repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
     then the offset. Very long texts: read whole. Empty table: no rows. Other columns:
     ignored."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("doc_key"), F.col("text").cast("string").alias("text"))
-    lines = cut(slim.mapInArrow(_units(least_words), "doc_id long, doc_key long, start long, end long, n_words long, high long, low long"))
+    lines = cut(slim.mapInArrow(released(_units(least_words)), "doc_id long, doc_key long, start long, end long, n_words long, high long, low long"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "doc_key", "start")
     # Cut, so that the join has two plain exchanges and a hot line's rows can be split.
     first = cut(lines.groupBy("high", "low").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"))
@@ -122,4 +122,4 @@ def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, chars: str
     out = joined.select(*[keyed[f"`{c}`"] for c in docs.columns], spans)
     text_at = docs.columns.index("text")
     at = docs.columns.index(chars) if chars in docs.columns and dict(docs.dtypes)[chars] in ("int", "bigint") else None
-    return out.mapInArrow(_cut_out(text_at, at, len(docs.columns)), docs.schema)
+    return out.mapInArrow(released(_cut_out(text_at, at, len(docs.columns))), docs.schema)

@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_of
+from .common import released, text_of
 from .merges import Memo, MergeTransducer
 
 #: Bound on the pieces that a worker keeps with their counts, and the chunk's characters.
-MOST_PIECES, CHUNK = 350_000, 1 << 16
+MOST_PIECES, CHUNK = 120_000, 1 << 16
 
 #: Character classes of the splitting automaton.
 LETTER, NUMBER, SPACE, BLANK, QUOTE, OTHER = range(6)
@@ -225,4 +225,4 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 512) -> DataFram
     as the library does by default. Empty table: no rows. Other columns: ignored. It is one
     map over the scan: no shuffle."""
     columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
-    return docs.select(*columns).mapInArrow(_counted(vocabulary), COUNTS).withColumn("over_limit", F.col("n_tokens") > limit)
+    return docs.select(*columns).mapInArrow(released(_counted(vocabulary)), COUNTS).withColumn("over_limit", F.col("n_tokens") > limit)

@@ -19,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_of
+from .common import cut, released, text_of
 from .merges import Memo
 
 #: Bounds: labelled rows fitted on, features kept, words whose features a worker keeps.
-SAMPLE_ROWS, MOST_FEATURES, MOST_WORDS = 12_000, 400, 350_000
+SAMPLE_ROWS, MOST_FEATURES, MOST_WORDS = 12_000, 400, 200_000
 GRADES = 3
 _STEM = re.compile(r"[^\W\d_]+")
 
@@ -139,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, seed
     if not n.get(0) or not n.get(1):
         return None
     total, share = n[0] + n[1], n[1] / (n[0] + n[1])
-    seen = sample.mapInArrow(_seen, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    seen = sample.mapInArrow(released(_seen), "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     both = F.col("clean") + F.col("toxic")
     z = (F.col("toxic") - both * share) / F.sqrt(both * (1 - both / F.lit(total + 1.0)) * (share * (1 - share)))
     chosen = seen.filter((F.col("toxic") >= 5) & (F.col("toxic") > F.col("clean") * 0.3)).withColumn("z", z).filter("z > 6").orderBy(F.desc("z"), "feature").limit(MOST_FEATURES)
@@ -147,7 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, seed
     names = [r.feature for r in chosen]
     if not names:
         return None
-    rows = sample.mapInArrow(_counted(names), "toxic int, n long, feature array<int>, count array<int>").limit(2 * sample_rows).collect()
+    rows = sample.mapInArrow(released(_counted(names)), "toxic int, n long, feature array<int>, count array<int>").limit(2 * sample_rows).collect()
     return Ordinal(names, [r.z for r in chosen], [dict(zip(r.feature, r["count"])) for r in rows], [r.n for r in rows], np.array([r.toxic for r in rows]))
 
 
@@ -189,4 +189,4 @@ def severity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample_
     labels, or of one kind: 0 for all. Very long texts: read whole. Empty table: no rows.
     Other columns: ignored."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(_scored(fit(docs, labels, sample_rows), threshold), "doc_id long, severity double, p_toxic double, toxic boolean")
+    return slim.mapInArrow(released(_scored(fit(docs, labels, sample_rows), threshold)), "doc_id long, severity double, p_toxic double, toxic boolean")
