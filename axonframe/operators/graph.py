@@ -12,11 +12,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import nz, sdiv
+from ..sources.checks import check_edges, check_values
 
 
 def both_sides(edges: DataFrame) -> DataFrame:
-    turned = edges.withColumnsRenamed({"src": "_d", "dst": "_s"}).withColumnsRenamed({"_s": "src", "_d": "dst"})
-    return edges.unionByName(turned)
+    """Each edge in both directions, unfolded in place: the edges are read once, and what
+    computes them stays alike in every use, so that its exchange is shared."""
+    ends = [F.struct(F.col(x).alias("src"), F.col(y).alias("dst")) for x, y in (("src", "dst"), ("dst", "src"))]
+    rest = [c for c in edges.columns if c not in ("src", "dst")]
+    both = edges.withColumn("_ends", F.explode(F.array(*ends)))
+    return both.select(*[F.col(c) if c in rest else F.col(f"_ends.{c}").alias(c) for c in edges.columns])
 
 
 def strength(sides: DataFrame, frame: list[str]) -> DataFrame:
@@ -24,11 +29,13 @@ def strength(sides: DataFrame, frame: list[str]) -> DataFrame:
 
 
 def clustering(sides: DataFrame, frame: list[str]) -> DataFrame:
-    """Binary local clustering; fewer than two neighbours: 0."""
+    """Binary local clustering; fewer than two neighbours: 0. A triangle is found once, at
+    the smallest of its nodes, and then counted at all three."""
     s = sides.select(*frame, "src", "dst")
-    wedge = s.withColumnsRenamed({"src": "node", "dst": "a"}).join(s.withColumnsRenamed({"src": "node", "dst": "b"}), [*frame, "node"]).filter("a < b")
-    closed = wedge.join(s.withColumnsRenamed({"src": "a", "dst": "b"}), [*frame, "a", "b"], "left_semi")
-    tri = closed.groupBy(*frame, "node").agg(F.count("*").alias("tri"))
+    up = s.filter("src < dst")
+    wedge = up.withColumnsRenamed({"src": "low", "dst": "a"}).join(up.withColumnsRenamed({"src": "low", "dst": "b"}), [*frame, "low"]).filter("a < b")
+    closed = wedge.join(up.withColumnsRenamed({"src": "a", "dst": "b"}), [*frame, "a", "b"], "left_semi")
+    tri = closed.select(*frame, F.explode(F.array("low", "a", "b")).alias("node")).groupBy(*frame, "node").agg(F.count("*").alias("tri"))
     k = s.groupBy(*frame, F.col("src").alias("node")).agg(F.count("*").alias("k"))
     return k.join(tri, [*frame, "node"], "left").select(*frame, "node", nz(sdiv(2 * F.coalesce("tri", F.lit(0)), F.col("k") * (F.col("k") - 1))).alias("clustering"))
 
@@ -186,9 +193,8 @@ METRICS = ("coreness", "betweenness", "efficiency", "closeness", "louvain")
 def frame_metric(edges: DataFrame, frame: list[str], metric: str) -> DataFrame:
     """(frame, node, ``metric``) by a whole-frame kernel; a frame's nodes are the recording's
     channels, so a group is bounded however many frames there are."""
-    if metric not in METRICS:
-        raise ValueError(f"{metric} is none of {METRICS}")
-    types = dict(edges.dtypes)
+    check_values([metric], METRICS, "metric")
+    types = dict(check_edges(edges, frame, weighted=True).dtypes)
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         g = Frame(table.column("src").to_pylist(), table.column("dst").to_pylist(), table.column("weight").to_numpy())

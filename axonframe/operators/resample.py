@@ -9,14 +9,22 @@ from pyspark.sql import functions as F
 from ..functions.scalars import fraction
 
 
+def bootstrap_rows(units: DataFrame, by: list[str], unit: str, n_boot: int, seed: int) -> DataFrame:
+    """``n_boot`` resamples, with replacement, of each group's rows (one a unit): they are
+    numbered per group, every (boot, draw) picks a number, and picks join by key. Adds
+    ``boot``; as many rows a resample as the group has."""
+    numbered = units.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(unit)) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(*by)))
+    draws = numbered.select(*by, "_k", "_n").withColumn("boot", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
+    draws = draws.select(*by, "boot", F.floor(fraction(F.lit(seed), *by, "boot", "_k") * F.col("_n")).cast("int").alias("_k"))
+    return draws.join(numbered.drop("_n"), [*by, "_k"]).drop("_k")
+
+
 def bootstrap_means(df: DataFrame, by: list[str], unit: str, n_boot: int, seed: int, value: str = "value") -> DataFrame:
-    """Means of ``n_boot`` resamples of units with replacement: units are numbered per
-    group, every (boot, draw) picks a number, and picks join by key."""
-    units = df.groupBy(*by, unit).agg(F.sum(value).alias("s"), F.count(value).alias("c"))
-    units = units.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy(unit)) - 1).withColumn("n", F.count("*").over(Window.partitionBy(*by)))
-    draws = units.withColumn("boot", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    draws = draws.select(*by, "boot", F.floor(fraction(F.lit(seed), *by, "boot", "k") * F.col("n")).cast("int").alias("k"))
-    return draws.join(units.select(*by, "k", "s", "c"), [*by, "k"]).groupBy(*by, "boot").agg((F.sum("s") / F.sum("c")).alias("mean"))
+    """Means of ``n_boot`` resamples of units with replacement; a unit moves as its sum and
+    count."""
+    units = df.groupBy(*by, unit).agg(F.sum(value).alias("_s"), F.count(value).alias("_c"))
+    drawn = bootstrap_rows(units, by, unit, n_boot, seed)
+    return drawn.groupBy(*by, "boot").agg(F.try_divide(F.sum("_s"), F.sum("_c")).alias("mean"))
 
 
 def percentile_interval(boots: DataFrame, by: list[str], level: float = 0.95) -> DataFrame:

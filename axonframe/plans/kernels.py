@@ -99,12 +99,8 @@ def _(t: Tables):
     from ..operators.aggregate import safe_corr
 
     x = t.sig.groupBy("node", "trial").agg(F.sum("value").alias("x"), F.sum(F.col("value") * F.col("t_idx")).alias("y"))
-    draws = R.bootstrap_means(x.withColumn("value", F.lit(1.0)), ["node"], "trial", 1, 2).select("node").distinct()
-    many = draws.withColumn("boot", F.explode(F.sequence(F.lit(0), F.lit(99)))).join(x, "node")
-    weight = F.pmod(F.xxhash64(F.lit(5), "boot", "trial"), F.lit(3)).cast("double")
-    some = many.withColumn("w", weight).filter("w > 0").withColumn("w", F.col("w").cast("int")).withColumn("_", F.explode(F.sequence(F.lit(1), F.col("w"))))
-    r = some.groupBy("node", "boot").agg(safe_corr("x", "y").alias("mean"))
-    return R.percentile_interval(r, ["node"])
+    drawn = R.bootstrap_rows(x, ["node"], "trial", 100, 2)
+    return R.percentile_interval(drawn.groupBy("node", "boot").agg(safe_corr("x", "y").alias("mean")), ["node"])
 
 
 @query("trial_swap_totals", "R2", "node:long freq:string total:double", "SELECT node, freq, sum(value) AS total FROM sig GROUP BY 1, 2")

@@ -46,10 +46,13 @@ class Tables:
 
     @cached_property
     def sig(self) -> DataFrame:
-        """Dense events signal. The axes are small by construction (10 nodes, 24 hours) or
-        aggregated (types, days)."""
-        axes = [self.cells.select(c).distinct() for c in ("node", "freq", "trial")] + [self.spark.range(24).select(F.col("id").alias("t_idx"))]
-        grid = axes[0].crossJoin(axes[1]).crossJoin(axes[2]).crossJoin(axes[3])
+        """Dense events signal. Its axes are small by construction (10 nodes, 24 hours) or
+        grow with types and days alone: one narrow scan gathers them, combined before the
+        shuffle, and they unfold to the grid without a product of tables, dealt out by
+        series, as the window operators want it."""
+        named = self.cells.agg(*[F.collect_set(c).alias(c) for c in ("node", "freq", "trial")])
+        grid = named.select(F.explode("node").alias("node"), "freq", "trial").select("node", F.explode("freq").alias("freq"), "trial")
+        grid = grid.select("node", "freq", F.explode("trial").alias("trial")).repartition("node", "freq", "trial").select("*", F.explode(F.sequence(F.lit(0), F.lit(23)).cast("array<bigint>")).alias("t_idx"))
         return grid.join(self.cells, ["node", "freq", "trial", "t_idx"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
 
     @cached_property

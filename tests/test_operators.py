@@ -216,3 +216,21 @@ def test_triggered_average_counts_missing_as_zero(spark):
     e = spark.createDataFrame([(0, 0), (0, 3)], "k long, t_idx long")
     got = {r.offset: r["mean"] for r in W.triggered_average(s, e, 2, ["k"], ["k"]).collect()}
     assert got == {-2: 0.5, -1: 0.5, 0: 1.0, 1: 0.5}
+
+
+def test_bootstrap_draws_whole_resamples(spark):
+    units = spark.createDataFrame([("a", k, float(k)) for k in range(20)] + [("b", 0, 1.0)], "node string, trial long, x double")
+    rows = R.bootstrap_rows(units, ["node"], "trial", 50, 1).collect()
+    sizes = {}
+    for r in rows:
+        sizes.setdefault((r.node, r.boot), []).append(r.x)
+    assert len(sizes) == 100 and all(len(v) == (20 if k[0] == "a" else 1) for k, v in sizes.items())
+    assert any(len(set(v)) < 20 for k, v in sizes.items() if k[0] == "a")
+    assert sum(map(sum, (v for k, v in sizes.items() if k[0] == "a"))) / 1000 == pytest.approx(9.5, abs=1)
+
+
+def test_generated_coupling_shows(spark, small):
+    from axonframe.plans import REGISTRY
+
+    c = {(r.window, r.freq): r.coherence for r in REGISTRY["coupled_pair"](spark, small).collect()}
+    assert all(c[0, f] > c[1, f] for f in (20.0, 28.0))

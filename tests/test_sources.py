@@ -1,9 +1,10 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
-from axonframe.sources import files
+from axonframe.sources import checks, files
 from axonframe.streaming import windows
 
 
@@ -62,3 +63,24 @@ def test_stateful_runs(spark, tmp_path):
             k = int(r.ts.timestamp() // 30)
             length = length + 1 if k % 7 else 0
             assert r.length == length
+
+
+def test_values_in_their_domain():
+    checks.check_values(None, [1, 2, 3])
+    checks.check_values([1, 3], [1, 2, 3])
+    checks.check_values([float("nan"), 0], [None, 0, 1])
+    with pytest.raises(checks.InvalidInput):
+        checks.check_values([1, 4], [1, 2, 3], "trial_type")
+
+
+def test_edge_lists_are_checked(spark):
+    e = spark.createDataFrame([(0, 1, 2, 0.5)], "f long, src long, dst long, weight double")
+    assert checks.check_edges(e, ["f"], weighted=True) is e
+    for bad, weighted in ((e.drop("dst"), False), (e.drop("weight"), True), (e.withColumn("weight", F.lit("x")), True)):
+        with pytest.raises(checks.InvalidInput):
+            checks.check_edges(bad, ["f"], weighted)
+
+
+def test_columns_that_share_a_name(spark):
+    df = spark.sql("SELECT 1 AS a, 2 AS b, 3 AS a")
+    assert [tuple(r) for r in checks.unique_columns(df).collect()] == [(1, 2)] and checks.unique_columns(df).columns == ["a", "b"]
