@@ -53,12 +53,12 @@ def _(t: Tables):
 
 
 @query("order_by_region", "S1 W18", "region:long node:long total:double place:long rank_in_region:long",
-       """WITH n AS (SELECT region, node, sum(value) AS total FROM com GROUP BY 1, 2)
-       SELECT *, row_number() OVER (ORDER BY region, node) AS place, rank() OVER (PARTITION BY region ORDER BY round(total, 2) DESC) AS rank_in_region FROM n""")
+       """WITH n AS (SELECT region, node, round(sum(value), 2) AS total FROM com GROUP BY 1, 2)
+       SELECT *, row_number() OVER (ORDER BY region, node) AS place, rank() OVER (PARTITION BY region ORDER BY total DESC) AS rank_in_region FROM n""")
 def _(t: Tables):
     """Nodes' places when ordered by region. The ordering runs over one row a node."""
-    n = t.com.groupBy("region", "node").agg(F.sum("value").alias("total"))
-    by_total = Window.partitionBy("region").orderBy(F.round("total", 2).desc())
+    n = t.com.groupBy("region", "node").agg(F.round(F.sum("value"), 2).alias("total"))  # totals of 2e8 hold no more places
+    by_total = Window.partitionBy("region").orderBy(F.desc("total"))
     return n.withColumn("place", F.row_number().over(Window.orderBy("region", "node"))).withColumn("rank_in_region", F.rank().over(by_total))
 
 
