@@ -14,7 +14,7 @@ from axonframe.llm.mixing import mix
 from axonframe.llm.packing import pack
 from axonframe.llm.quality import keep_good
 from axonframe.llm.queries import vocabulary
-from axonframe.llm.simhash import keep_one
+from axonframe.llm.near_copies import keep_one
 from axonframe.llm.substring import without_repeats
 
 
