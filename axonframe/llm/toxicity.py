@@ -43,7 +43,7 @@ def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
         for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             seen[y].update({f for w in set(text_of(text).split()) for f in features_of(w)})
-        names = [f for f in {**seen[0], **seen[1]} if seen[0][f] + seen[1][f] > 1]
+        names = list({**seen[0], **seen[1]})
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([s[f] for f in names], pa.int64()) for s in seen)], ["feature", "clean", "toxic"])
 
 

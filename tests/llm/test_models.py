@@ -192,3 +192,10 @@ def test_mix_edges(spark):
     assert len(rows) == 5 and all(r.taken <= 2 * r.size for r in rows) and {r.size for r in rows} == {0, 2, 9000}
     assert mixing.mixed_sizes(df.limit(0)).count() == 0 == mixing.mix(df.limit(0)).count()
     assert all(r.taken == 0 for r in mixing.mixed_sizes(df.limit(2)).collect())
+
+
+def test_features_do_not_depend_on_partitions(spark, insults):
+    docs, labels = insults
+    df, some = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    seen = lambda n: sorted(tuple(r) for r in df.join(some, "doc_id").select("toxic", "text").repartition(n).mapInArrow(toxicity._seen, "feature string, clean long, toxic long").groupBy("feature").sum("clean", "toxic").collect())
+    assert seen(1) == seen(200) and len(seen(1)) > 0
