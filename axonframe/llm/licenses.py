@@ -53,6 +53,19 @@ TEMPLATES: dict[str, list[str]] = {
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
     "Proprietary": ["All rights reserved. Unauthorized copying of this file, via any medium is strictly prohibited."],
 }
+#: Notices with fewer than five words, and SPDX lines.
+SHORT: dict[str, list[str]] = {
+    "All-rights-reserved": ["All rights reserved."],
+    **{
+        name: [f"SPDX-License-Identifier: {i}" for i in ids.split()]
+        for name, ids in {
+            "MIT": "MIT", "Apache-2.0": "Apache-2.0", "GPL-3.0": "GPL-3.0", "GPL-2.0": "GPL-2.0", "LGPL": "LGPL-2.0 LGPL-2.1 LGPL-3.0", "AGPL-3.0": "AGPL-3.0",
+            "BSD": "BSD-2-Clause BSD-3-Clause", "MPL-2.0": "MPL-2.0", "CC-BY-NC-4.0": "CC-BY-NC-4.0", "CC-BY-4.0": "CC-BY-4.0", "CC-BY-SA-4.0": "CC-BY-SA-4.0",
+            "CC0-1.0": "CC0-1.0", "ISC": "ISC", "Unlicense": "Unlicense",
+        }.items()
+    },
+}
+ALL = {name: TEMPLATES.get(name, []) + SHORT.get(name, []) for name in {**TEMPLATES, **SHORT}}
 SHINGLE, BANDS, CONTAINMENT = 5, 24, 0.8
 
 _WORD = re.compile(r"[^\W_]+")
@@ -117,6 +130,16 @@ def shingles_of(words: np.ndarray) -> np.ndarray:
         return _mixed(total, 3)
 
 
+def windows_of(words: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of ``k`` words, fewer than five, as ``shingles_of`` a text of them."""
+    n = max(0, len(words) - k + 1)
+    total = np.zeros(n, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(k):
+            total += words[i : i + n] * _POWERS.upto(8)[0][i + 1]
+        return _mixed(total, 2)
+
+
 #: Odd factors: band h orders shingles by their hash times the h-th, modulo 2^64.
 _FACTORS = _mixed(np.arange(BANDS, dtype=np.uint64), 100) | np.uint64(1)
 
@@ -128,17 +151,22 @@ class Scanner:
         self.templates: list[tuple[str, np.ndarray]] = []
         #: By template: the window of its size and the stride of such windows.
         self.window: list[tuple[int, int]] = []
+        #: Of fewer than five words: names by the hash of all words, by their number.
+        self.short: dict[int, dict[int, list[str]]] = {}
         for name, texts in templates.items():
             for text in texts:
                 words = words_of(text.encode())[2]
+                if not len(words):
+                    raise ValueError(f"a template of {name} has no words")
                 if len(words) < SHINGLE:
-                    raise ValueError(f"a template of {name} has fewer than {SHINGLE} words")
+                    self.short.setdefault(len(words), {}).setdefault(int(shingles_of(words)[0]), []).append(name)
+                    continue
                 size = len(words) - SHINGLE + 1
                 stride = max(1, size // 4)
                 self.templates.append((name, np.unique(shingles_of(words))))
                 self.window.append((size + stride, stride))
         #: By band: the templates' minima, and a table of the leading 16 bits that occur.
-        self.minima = np.array([[(own * f).min() for _, own in self.templates] for f in _FACTORS])
+        self.minima = np.array([[(own * f).min() for _, own in self.templates] for f in _FACTORS], dtype=np.uint64)
         self.leading = np.zeros((BANDS, 1 << 16), dtype=bool)
         for h in range(BANDS):
             self.leading[h, self.minima[h] >> np.uint64(48)] = True
@@ -165,14 +193,17 @@ class Scanner:
         raws = [t.encode("utf-8", "surrogatepass") for t in texts]
         begins = np.concatenate([[0], np.cumsum([len(r) + 1 for r in raws])])
         start, end, words = words_of(b"\n".join(raws))
-        if len(words) < SHINGLE:
-            return [[] for _ in texts]
-        shingles = shingles_of(words)
         owner = np.searchsorted(begins, start, side="right") - 1
-        across = np.flatnonzero(owner[: len(shingles)] != owner[SHINGLE - 1 :])
-        shingles[across] = _mixed(across.astype(np.uint64), 4)  # of two texts: like no other
         found: list[list] = [[] for _ in texts]
-        for t, a, b in self.candidates(shingles):
+        for k, names in self.short.items():
+            whole = windows_of(words, k)
+            for p in np.flatnonzero(np.isin(whole, np.array(list(names), dtype=np.uint64))):
+                if (d := owner[p]) == owner[p + k - 1]:
+                    found[d] += [(0, name, int(start[p] - begins[d]), int(end[p + k - 1] - begins[d]), 1.0) for name in names[int(whole[p])]]
+        shingles = shingles_of(words) if len(words) >= SHINGLE else words[:0]
+        across = np.flatnonzero(owner[: len(shingles)] != owner[SHINGLE - 1 :][: len(shingles)])
+        shingles[across] = _mixed(across.astype(np.uint64), 4)  # of two texts: like no other
+        for t, a, b in self.candidates(shingles) if self.templates else ():
             name, own = self.templates[t]
             held = a + np.flatnonzero(np.isin(shingles[a:b], own))
             for d in np.unique(owner[held]):  # a window may reach into the next text
@@ -216,7 +247,8 @@ def notices(docs: DataFrame, templates: dict[str, list[str]] | None = None) -> D
 
     Null or empty text: no notices. Null doc_id: kept as null. Repeated rows: their notices
     once for each. Notices of one license that overlap: the one that holds the most
-    shingles; ties to the earlier. Very long texts: read whole. Empty table: no rows. Other
+    shingles; ties to the earlier. ``templates`` of fewer than five words are found word for
+    word (default: TEMPLATES, which has none; ALL has them too). Very long texts: read whole. Empty table: no rows. Other
     columns: ignored. It is one map over the scan: no shuffle."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return slim.mapInArrow(released(_scanned(templates or TEMPLATES)), "doc_id long, license string, start long, end long, containment double")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .ann import nearest
 from .common import read
 from .embedding_dedup import near_vectors
-from .licenses import notices
+from .licenses import ALL, notices
 from .mixing import mixed_sizes
 from .packing import pack
 from .quality import judge
@@ -38,7 +38,7 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return notices(read(spark, sf_dir, "documents"))
+    return notices(read(spark, sf_dir, "documents"), ALL)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -199,3 +199,10 @@ def test_features_do_not_depend_on_partitions(spark, insults):
     df, some = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     seen = lambda n: sorted(tuple(r) for r in df.join(some, "doc_id").select("toxic", "text").repartition(n).mapInArrow(toxicity._seen, "feature string, clean long, toxic long").groupBy("feature").sum("clean", "toxic").collect())
     assert seen(1) == seen(200) and len(seen(1)) > 0
+
+
+def test_short_license_notices():
+    scan = licenses.Scanner(licenses.ALL)
+    got = scan(["x\nAll rights reserved.", "SPDX-License-Identifier: MIT", "all rights", "reserved", "ñ SPDX-License-Identifier: Apache-2.0", "rights reserved", ""])
+    assert got == [[("All-rights-reserved", 2, 21, 1.0)], [("MIT", 0, 28, 1.0)], [], [], [("Apache-2.0", 2, 37, 1.0)], [], []]
+    assert licenses.Scanner({"x": ["one two"]})(["one two"]) == [[("x", 0, 7, 1.0)]]
