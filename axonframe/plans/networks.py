@@ -352,7 +352,7 @@ def _(t: Tables):
     return G.frame_metric(t.frames.filter("freq = 'N' and trial = 2"), ["trial", "t_idx"], "closeness")
 
 
-for _metric, _ids in (("coreness", "G3 B19"), ("betweenness", "G6"), ("efficiency", "G5"), ("louvain", "G7 G11 G21 G16")):
+for _metric, _ids in (("coreness", "G3 B19"), ("closeness", "G4"), ("betweenness", "G6"), ("efficiency", "G5"), ("louvain", "G7 G11 G21 G16")):
 
     def _plan(t: Tables, metric=_metric):
         return G.frame_metric(t.frames, FRAME, metric)
