@@ -106,6 +106,26 @@ def _(t: Tables):
     return P.trimer_strength(_meta(t), ["freq"])
 
 
+def _whole_meta(t: Tables):
+    """Over all nodes; the SQL above has the first five only."""
+    return P.meta_connectivity(P.products(t.sig, FRAME), FRAME, ["freq"])
+
+
+@query("meta_connectivity_all_nodes", "K14 K15 J13 D13", "freq:string edge_a:string edge_b:string mc:double")
+def _(t: Tables):
+    return _whole_meta(t)
+
+
+@query("entanglement_all_nodes", "K16", "freq:string edge:string entanglement:double")
+def _(t: Tables):
+    return P.entanglement(_whole_meta(t), ["freq"])
+
+
+@query("trimer_strength_all_nodes", "K17 K18 K19", "freq:string node:long strength:double")
+def _(t: Tables):
+    return P.trimer_strength(_whole_meta(t), ["freq"])
+
+
 _DIFF = "d AS (SELECT * FROM (SELECT node, freq, trial, t_idx, value - lag(value) OVER (PARTITION BY node, freq, trial ORDER BY t_idx) AS diff FROM sig) WHERE diff IS NOT NULL)"
 
 

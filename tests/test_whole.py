@@ -1,5 +1,10 @@
 """Queries that take all of their table, against brute force."""
 
+from itertools import combinations
+
+import numpy as np
+import pytest
+
 from axonframe.plans import REGISTRY
 
 
@@ -22,3 +27,20 @@ def test_closeness_of_every_frame(spark):
                     d[a, b] = min(d[a, b], d[a, m] + d[m, b])
         want |= {(*k, a): sum(d[a, b] for b in nodes if d[a, b] < 99) for a in nodes}
     assert got == want
+
+
+def test_meta_connectivity_of_all_nodes(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(7, 12))
+    sig = spark.createDataFrame([(n, "f", 0, k, float(x[n, k])) for n in range(7) for k in range(12)], "node long, freq string, trial long, t_idx long, value double")
+    t = Fixture(sig=sig)
+    edges = list(combinations(range(7), 2))
+    c = np.corrcoef([x[a] * x[b] for a, b in edges])
+    mc = {(r.edge_a, r.edge_b): r.mc for r in REGISTRY["meta_connectivity_all_nodes"].plan(t).collect()}
+    assert len(mc) == 21 * 22 // 2
+    name = [f"{a}~{b}" for a, b in edges]
+    assert all(mc[name[i], name[j]] == pytest.approx(c[i, j]) for i in range(21) for j in range(i, 21))
+    ent = {r.edge: r.entanglement for r in REGISTRY["entanglement_all_nodes"].plan(t).collect()}
+    assert ent == {n: pytest.approx(s) for n, s in zip(name, c.sum(axis=1))}
+    trimer = {int(r.node): r.strength for r in REGISTRY["trimer_strength_all_nodes"].plan(t).collect()}
+    assert trimer == {v: pytest.approx(sum(c[i, j] for i, j in combinations(range(21), 2) if v in edges[i] and v in edges[j])) for v in range(7)}
