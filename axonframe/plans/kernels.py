@@ -156,5 +156,5 @@ def _(t: Tables):
 
 @query("tf_factors", "K34", "trial:long node:long component:long freq:double weight:double")
 def _(t: Tables):
-    tf = P.power(P.time_frequency(_signals(t).filter("trial < 5"), ["trial", "node"], FS, FREQS))
+    tf = P.power(P.time_frequency(_signals(t), ["trial", "node"], FS, FREQS))
     return P.time_frequency_factors(tf, ["trial", "node"], 2)

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from axonframe.plans import REGISTRY
+from axonframe.sources.lifts import Tables
 
 
 class Fixture:
@@ -44,3 +45,9 @@ def test_meta_connectivity_of_all_nodes(spark):
     assert ent == {n: pytest.approx(s) for n, s in zip(name, c.sum(axis=1))}
     trimer = {int(r.node): r.strength for r in REGISTRY["trimer_strength_all_nodes"].plan(t).collect()}
     assert trimer == {v: pytest.approx(sum(c[i, j] for i, j in combinations(range(21), 2) if v in edges[i] and v in edges[j])) for v in range(7)}
+
+
+def test_factors_of_every_signal(spark, small):
+    t = Tables(spark, small)
+    got = REGISTRY["tf_factors"].plan(t).select("trial", "node").distinct().count()
+    assert got == t.table("embeddings").count() > 50
