@@ -14,7 +14,7 @@ from .mixing import mixed_sizes
 from .packing import pack
 from .quality import judge
 from .simhash import near_duplicates
-from .substring import repeated_lines
+from .substring import repeated_passages
 from .token_count import count_tokens
 from .toxicity import severity
 
@@ -58,7 +58,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_lines(read(spark, sf_dir, "documents")).drop("doc_key")
+    return repeated_passages(read(spark, sf_dir, "documents")).drop("doc_key")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

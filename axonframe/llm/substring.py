@@ -1,9 +1,18 @@
-"""Repeated passages by line hashing.
+"""Repeated passages by line and paragraph hashing.
 
-Lines are normalised (case folded, marks of Unicode compatibility unified, blanks
-collapsed) and hashed to 128 bits. Digests are grouped globally; the earliest occurrence,
-by document and offset, is kept and every other is a removed span with its offsets in the
-original text.
+A text's units are its lines and, within a line, its sentences; where a sentence is long it
+also ends where the text itself says so (at words whose hash is least among their
+neighbours), so that a passage is cut alike wherever it stands, in the middle of another
+line too. Neighbouring units of at least ``PARAGRAPH`` words together are a paragraph; one
+starts at every unit. Words are normalised (Unicode compatibility, case folded), paragraphs
+hashed to 128 bits and their digests grouped globally: the earliest occurrence, by document
+and place, is the one that the others are held against.
+
+Paragraphs that lie side by side here and there are one match, and each match is extended
+word by word to both sides as far as the earlier place goes on alike. What has fewer than
+``LEAST_WORDS`` words then, such as a common line, stays. The rest is a removed span with
+its offsets in the original text. Each removed word stands at an earlier place too, so
+following these places ends at one that stays.
 """
 
 from __future__ import annotations
@@ -13,113 +22,312 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from xxhash import xxh3_128_digest
+from xxhash import xxh3_64_intdigest
 
 from .common import cut, fresh, released, text_of
+from .licenses import _POWERS, _mixed
+
+#: Passages of fewer words are never removed; a paragraph has at least so many words.
+LEAST_WORDS, PARAGRAPH = 50, 12
+#: A word ends a unit if its hash is the least of so many words to either side.
+RADIUS = 4
+#: Words that end a sentence end with one of these, closing marks aside.
+STOPS, CLOSERS = tuple(".!?…。！？।؟"), "\"'”’»)]}"
+#: Characters of text that are hashed at a time, and words that a worker keeps with their hash.
+CHUNK, MOST_WORDS = 1 << 20, 200_000
+
+#: Scripts written without blanks: each of their characters is a word.
+_UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
+_BLANK = np.array([chr(c).isspace() for c in range(0x3001)])
+
+
+def normal(word: str) -> str:
+    return (word if word.isascii() else unicodedata.normalize("NFKC", word)).casefold()
+
+
+class Hashes(dict):
+    """Words to their hashes, which are odd where the word ends a sentence."""
+
+    def __missing__(self, word: str) -> int:
+        plain = normal(word)
+        ends = plain.rstrip(CLOSERS).endswith(STOPS)
+        found = xxh3_64_intdigest(plain.encode("utf-8", "surrogatepass")) & ~1 | ends
+        if len(self) < MOST_WORDS:
+            self[word] = found
+        return found
+
+
+_HASHES = Hashes()
 
-#: Lines of fewer words are never removed.
-LEAST_WORDS = 5
 
+class Words:
+    """The words of some texts, one after another: start and end (characters of the joined
+    texts), hash, and whether a line or sentence ends there. ``first`` are the texts'
+    first words, with their total at the end; ``begin`` the texts' first characters."""
 
-def normalised(line: str) -> list[str]:
-    if not line.isascii():
-        line = unicodedata.normalize("NFKC", line)
-    return line.casefold().split()
+    def __init__(self, texts: list[str]):
+        joined = "\n".join(texts)
+        chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        inside = ~_BLANK[np.minimum(chars, len(_BLANK) - 1)]
+        inside[chars >= len(_BLANK)] = True
+        alone = np.zeros(len(chars), dtype=bool)
+        if len(chars) and chars.max() >= _UNSPACED[0][0]:
+            for low, high in _UNSPACED:
+                alone |= (chars >= low) & (chars <= high)
+            alone &= inside
+        edge = np.ones(len(chars) + 1, dtype=bool)  # a word may start or have ended here
+        edge[1:-1] = ~inside[1:] | ~inside[:-1] | alone[1:] | alone[:-1]
+        self.start = np.flatnonzero(inside & edge[:-1])
+        self.end = np.flatnonzero(inside & edge[1:]) + 1
+        words = [joined[a:b] for a, b in zip(self.start.tolist(), self.end.tolist())] if alone.any() else joined.split()
+        self.hash = np.fromiter(map(_HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
+        self.begin = np.cumsum([0] + [len(t) + 1 for t in texts])
+        self.first = np.searchsorted(self.start, self.begin)
+        lines = np.flatnonzero(chars == 10)
+        # Words after which a line, or all, ends: the last ones before each line end.
+        last = np.searchsorted(self.start, lines) - 1
+        self.stop = (self.hash & np.uint64(1)).astype(bool)
+        self.stop[last[last >= 0]] = True
+        if len(words):
+            self.stop[-1] = True
 
+    def units(self) -> np.ndarray:
+        """First words of the units, with the number of words at the end."""
+        n = len(self.hash)
+        if not n:
+            return np.zeros(1, dtype=np.int64)
+        before = np.concatenate([[np.uint64(0)], self.hash[:-1]])
+        before[self.first[self.first < n]] = 0
+        with np.errstate(over="ignore"):
+            rank = _mixed(self.hash ^ _mixed(before, 5), 6) | np.uint64(1)
+        rank[self.stop] = 0
+        padded = np.concatenate([np.zeros(RADIUS, dtype=np.uint64), rank, np.zeros(RADIUS, dtype=np.uint64)])
+        least = rank.copy()
+        for k in range(2 * RADIUS + 1):
+            np.minimum(least, padded[k : k + n], out=least)
+        return np.concatenate([[0], np.flatnonzero(rank <= least) + 1])
 
-def units(text: str, least_words: int) -> list[tuple[int, int, int, bytes]]:
-    """(start, end, words, digest) of each line, its line end included."""
-    out, at = [], 0
-    for line in text.split("\n"):
-        end = at + len(line) + 1
-        words = normalised(line)
-        if len(words) >= least_words:
-            out.append((at, min(end, len(text)), len(words), xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))))
-        at = end
-    return out
+    def digests(self, at: np.ndarray, till: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of the words from ``at`` up to ``till``."""
+        up, down = _POWERS.upto(len(self.hash) + 1)
+        with np.errstate(over="ignore"):
+            out = []
+            for salt in (11, 12):
+                sums = np.concatenate([[np.uint64(0)], np.cumsum((_mixed(self.hash >> np.uint64(1), salt) | np.uint64(1)) * up[: len(self.hash)])])
+                out.append(_mixed((sums[till] - sums[at]) * down[at], salt + 2).view(np.int64))
+        return out[0], out[1]
 
+    def paragraphs(self, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, first word, word after the last) of the paragraphs of the texts that
+        have ``least_words`` words."""
+        bounds = self.units()
+        at = bounds[:-1]
+        text = np.searchsorted(self.first, at, side="right") - 1
+        place = np.searchsorted(bounds, at + PARAGRAPH)
+        till = bounds[np.minimum(place, len(bounds) - 1)]
+        own = np.diff(self.first)[text] >= least_words
+        keep = own & (place < len(bounds)) & (till <= self.first[np.minimum(text + 1, len(self.first) - 1)])
+        return text[keep], at[keep], till[keep]
 
-def _units(least_words: int):
+
+def chunks(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """(index of the first, texts) of some ``CHUNK`` characters; null is empty."""
+    for at in range(0, len(texts), 512):
+        held, size, first = [], 0, at
+        for t in texts.slice(at, 512).to_pylist():
+            held.append(text_of(t))
+            size += len(held[-1])
+            if size >= CHUNK:
+                yield first, held
+                first, held, size = first + len(held), [], 0
+        if held:
+            yield first, held
+
+
+def _paragraphs(least_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys, texts = batch.column(0), batch.column(1), batch.column(2)
-            for at in range(0, batch.num_rows, 512):
-                found, rows = [], []
-                for k, text in enumerate(texts.slice(at, 512).to_pylist()):
-                    some = units(text_of(text), least_words)
-                    found += some
-                    rows += [at + k] * len(some)
-                if not found:
-                    continue
-                start, end, words, digest = zip(*found)
-                halves = np.frombuffer(b"".join(digest), dtype="<i8").reshape(-1, 2)
-                take = pa.array(rows)
+            ids, keys = batch.column(0), batch.column(1)
+            for first, texts in chunks(batch.column(2)):
+                words = Words(texts)
+                text, at, till = words.paragraphs(least_words)
+                high, low = words.digests(at, till)
+                take = pa.array(text + first)
+                columns = [ids.take(take), keys.take(take), *(pa.array(x.astype(np.int64)) for x in (at - words.first[text], till - at, high, low))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "doc_key", "at", "n", "high", "low"])
+
+    return run
+
+
+def _context(reach: int):
+    """(doc_id, doc_key, text, [word]) to the words before and after each place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                words = Words([text_of(batch.column(2)[k].as_py())])
+                short = (words.hash >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                places = batch.column(3)[k].values.to_pylist()
+                before = [short[max(0, p - reach) : p][::-1] for p in places]
+                after = [short[p : p + reach] for p in places]
+                starts = [words.start[max(0, p - reach) : p + 1][::-1].astype(np.int32) for p in places]
+                n = pa.array([k] * len(places))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(take), keys.take(take), *(pa.array(v, pa.int64()) for v in (start, end, words)), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())],
-                    ["doc_id", "doc_key", "start", "end", "n_words", "high", "low"],
+                    [batch.column(0).take(n), batch.column(1).take(n), pa.array(places, pa.int64()), *(pa.array(x, pa.list_(pa.int32())) for x in (before, after, starts))],
+                    ["doc_id", "doc_key", "place", "before", "after", "starts"],
                 )
 
     return run
 
 
-def repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """One row for each removed line of ``docs`` (doc_id, text): doc_id, start, end
-    (characters of the original text, line end included), n_words, kept_doc_id,
-    kept_start (the occurrence that stays), and doc_key (a hash of the whole text).
+def alike(a: np.ndarray, b: np.ndarray) -> int:
+    """Number of first elements that agree."""
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(a[:n] != b[:n])
+    return int(differ[0]) if len(differ) else n
+
+
+def spans(text: str, matches: list[dict], least_words: int) -> list[tuple[int, int, int, int | None, int]]:
+    """(start, end, words, kept_doc_id, kept_start) of what goes from ``text``; a match has
+    at, till (words), before, after, starts (the earlier place's words) and kept."""
+    words = Words([text])
+    short = (words.hash >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    found = []
+    for m in matches:
+        left = alike(short[max(0, m["at"] - least_words) : m["at"]][::-1], np.array(m["before"], dtype=np.int32))
+        right = alike(short[m["till"] : m["till"] + least_words], np.array(m["after"], dtype=np.int32))
+        if (n := m["till"] - m["at"] + left + right) >= least_words:
+            found.append((m["at"] - left, m["till"] + right, n, m["kept"], m["starts"][left]))
+    found.sort(key=lambda x: x[:2])
+    out: list[list] = []
+    for f in found:
+        if out and f[0] <= out[-1][1]:
+            if f[1] > out[-1][1]:
+                best = f if f[2] > out[-1][2] else out[-1]
+                out[-1] = [out[-1][0], f[1], best[2], *best[3:]]
+        else:
+            out.append(list(f))
+    ends = np.append(words.start, len(text))
+    return [(int(words.start[a]), int(ends[b]), b - a, kept, start) for a, b, _, kept, start in out]
+
+
+MATCH = "struct<at:long,till:long,kept:long,before:array<int>,after:array<int>,starts:array<int>>"
+
+
+def _identified(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("doc_key"), text.alias("text"))
+
+
+def matches(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """(doc_id, doc_key, found): for each document of ``docs`` its matches with earlier
+    places, not yet extended, with ``least_words`` words of the earlier place around them."""
+    slim = _identified(docs)
+    # Read again rather than kept: hashing twice is cheaper than writing every digest.
+    rows = slim.mapInArrow(released(_paragraphs(least_words)), "doc_id long, doc_key long, at long, n long, high long, low long")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "doc_key", "at")
+    # Cut, so that the join has two plain exchanges and a hot digest's rows can be split.
+    first = cut(rows.groupBy("high", "low").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter(F.col("first") != F.col("last")).drop("last"))
+    met = rows.join(first, ["high", "low"]).filter(place != F.col("first"))
+    other = ["kept", "kept_key", "shift"]
+    met = met.select("doc_id", "doc_key", "at", (F.col("at") + F.col("n")).alias("till"), F.col("first.doc_id").alias("kept"), F.col("first.doc_key").alias("kept_key"), (F.col("at") - F.col("first.at")).alias("shift"))
+    row = ["doc_id", "doc_key", *other]
+    series = Window.partitionBy(*row).orderBy("at", "till")
+    reached = F.max("till").over(series.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.coalesce((F.col("at") > F.col("reached")).cast("int"), F.lit(1))
+    runs = met.withColumn("reached", reached).withColumn("begins", begins).withColumn("run", F.sum("begins").over(series.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = cut(runs.groupBy(*row, "run").agg(F.min("at").alias("at"), F.max("till").alias("till")).drop("run"))
+    # The words around both ends of each match, once for each earlier place.
+    ends = F.array(F.col("at") - F.col("shift"), F.col("till") - F.col("shift"))
+    asked = runs.select("kept", "kept_key", F.explode(ends).alias("place")).distinct()
+    asked = asked.groupBy(F.col("kept").alias("doc_id"), F.col("kept_key").alias("doc_key")).agg(F.collect_list("place").alias("places"))
+    asked = cut(asked.select(F.col("doc_id").alias("a_id"), F.col("doc_key").alias("a_key"), "places"))
+    held = slim.join(asked, slim["doc_id"].eqNullSafe(asked["a_id"]) & (slim["doc_key"] == asked["a_key"])).select("doc_id", "doc_key", "text", "places")
+    around = held.mapInArrow(released(_context(least_words)), "doc_id long, doc_key long, place long, before array<int>, after array<int>, starts array<int>")
+    around = around.groupBy("doc_id", "doc_key", "place").agg(F.first("before").alias("before"), F.first("after").alias("after"), F.first("starts").alias("starts"))
+    around = cut(around)
+
+    def by(side: str, *columns: str) -> DataFrame:
+        return around.select(F.col("doc_id").alias(f"{side}_id"), F.col("doc_key").alias(f"{side}_key"), F.col("place").alias(f"{side}_place"), *columns)
+
+    for side, at, columns in (("a", "at", ("before", "starts")), ("b", "till", ("after",))):
+        there = by(side, *columns)
+        same = runs["kept"].eqNullSafe(there[f"{side}_id"]) & (runs["kept_key"] == there[f"{side}_key"]) & (runs[at] - runs["shift"] == there[f"{side}_place"])
+        runs = runs.join(there, same).drop(f"{side}_id", f"{side}_key", f"{side}_place")
+    found = F.struct("at", "till", "kept", "before", "after", "starts").cast(MATCH)
+    return cut(runs.groupBy("doc_id", "doc_key").agg(F.collect_list(found).alias("found")))
+
+
+def _spans(least_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "start", "end", "n_words", "kept_doc_id", "kept_start", "doc_key"]
+        for batch in batches:
+            rows = []
+            for k in range(batch.num_rows):
+                doc, key, text, found = (c[k].as_py() for c in batch.columns)
+                rows += [(doc, *s, key) for s in spans(text_of(text), found, least_words)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * len(names))], names)
+
+    return run
+
+
+def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """One row for each passage of ``docs`` (doc_id, text) that goes: doc_id, start, end
+    (characters of the original text, the blanks up to the next word included), n_words,
+    kept_doc_id, kept_start (where its longest match stands earlier), and doc_key (a hash
+    of the whole text).
 
-    Null or empty texts: no lines. Null doc_id: last in rank. Rows alike in doc_id and text
-    are one document: their lines stay or go together. Ties: doc_id, then the text's hash,
-    then the offset. Very long texts: read whole. Empty table: no rows. Other columns:
-    ignored."""
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("doc_key"), F.col("text").cast("string").alias("text"))
-    lines = cut(slim.mapInArrow(released(_units(least_words)), "doc_id long, doc_key long, start long, end long, n_words long, high long, low long"))
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "doc_key", "start")
-    # Cut, so that the join has two plain exchanges and a hot line's rows can be split.
-    first = cut(lines.groupBy("high", "low").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"))
-    found = lines.join(first, ["high", "low"]).filter(place != F.col("first"))
-    return found.select("doc_id", "start", "end", "n_words", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start"), "doc_key")
+    A passage is a run of ``least_words`` words or more that stands at an earlier place
+    with a whole paragraph in it. Null or empty texts: no passages. Null doc_id: last in
+    rank. Rows alike in doc_id and text are one document: their passages stay or go
+    together, and each row has its own. Ties: doc_id, then the text's hash, then the word.
+    Very long texts: read whole. Empty table: no rows. Other columns: ignored."""
+    slim, found = _identified(docs), matches(docs, least_words)
+    found = found.withColumnsRenamed({"doc_id": "a_id", "doc_key": "a_key"})
+    held = slim.join(found, slim["doc_id"].eqNullSafe(found["a_id"]) & (slim["doc_key"] == found["a_key"])).select("doc_id", "doc_key", "text", "found")
+    return held.mapInArrow(released(_spans(least_words)), "doc_id long, start long, end long, n_words long, kept_doc_id long, kept_start long, doc_key long")
 
 
-def _cut_out(text_at: int, chars_at: int | None, spans_at: int):
+def _cut_out(text_at: int, chars_at: int | None, found_at: int, least_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
-                texts, spans = some.column(text_at).to_pylist(), some.column(spans_at).to_pylist()
-                out, keep = [], []
-                for text, cuts in zip(texts, spans):
-                    if cuts:
+                out, cuts, keep = [], [], []
+                for text, found in zip(some.column(text_at).to_pylist(), some.column(found_at).to_pylist()):
+                    gone = spans(text_of(text), found, least_words) if found else []
+                    if gone:
                         parts, done = [], 0
-                        for span in cuts:
-                            parts.append(text[done : span["start"]])
-                            done = span["end"]
+                        for start, end, *_ in gone:
+                            parts.append(text[done:start])
+                            done = end
                         text = "".join([*parts, text[done:]])
                     out.append(text)
-                    keep.append(not cuts or bool(text.strip()))
-                columns = [c for i, c in enumerate(some.columns) if i != spans_at]
+                    cuts.append(bool(gone))
+                    keep.append(not gone or bool(text.strip()))
+                columns = [c for i, c in enumerate(some.columns) if i != found_at]
                 columns[text_at] = pa.array(out, some.schema.field(text_at).type)
                 if chars_at is not None:
                     old = some.column(chars_at).to_pylist()
-                    columns[chars_at] = pa.array([len(t) if c else o for t, c, o in zip(out, spans, old)], some.schema.field(chars_at).type)
-                names = [n for i, n in enumerate(some.schema.names) if i != spans_at]
+                    columns[chars_at] = pa.array([len(t) if c else o for t, c, o in zip(out, cuts, old)], some.schema.field(chars_at).type)
+                names = [n for i, n in enumerate(some.schema.names) if i != found_at]
                 yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep))
 
     return run
 
 
 def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, chars: str = "n_chars") -> DataFrame:
-    """``docs`` with repeated lines cut out of their texts; all columns stay, and ``chars``,
-    if there is an integer column of that name, follows the text. Documents of which
-    nothing but blanks is left go. See ``repeated_lines`` for nulls, ties and repeats."""
-    own, digest, spans, other = fresh(docs, "doc", "digest", "spans", "other")
-    found = repeated_lines(docs, least_words).groupBy(F.col("doc_id").alias(other), F.col("doc_key").alias(digest))
-    found = found.agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias(spans))
-    keyed = docs.withColumns({own: F.col("doc_id").cast("long"), digest: F.xxhash64(F.col("text").cast("string"))})
-    found = found.withColumnRenamed(digest, f"{digest}_")
-    joined = keyed.join(cut(found), (keyed[digest] == found[f"{digest}_"]) & keyed[own].eqNullSafe(found[other]), "left")
-    out = joined.select(*[keyed[f"`{c}`"] for c in docs.columns], spans)
+    """``docs`` with repeated passages cut out of their texts; all columns stay, and
+    ``chars``, if there is an integer column of that name, follows the text. Documents of
+    which nothing but blanks is left go. See ``repeated_passages`` for nulls, ties and
+    repeats."""
+    own, key, found = fresh(docs, "doc", "key", "found")
+    there = matches(docs, least_words).select(F.col("doc_id").alias(f"{own}_"), F.col("doc_key").alias(f"{key}_"), F.col("found").alias(found))
+    keyed = docs.withColumns({own: F.col("doc_id").cast("long"), key: F.xxhash64(F.col("text").cast("string"))})
+    joined = keyed.join(there, (keyed[key] == there[f"{key}_"]) & keyed[own].eqNullSafe(there[f"{own}_"]), "left")
+    out = joined.select(*[keyed[f"`{c}`"] for c in docs.columns], found)
     text_at = docs.columns.index("text")
     at = docs.columns.index(chars) if chars in docs.columns and dict(docs.dtypes)[chars] in ("int", "bigint") else None
-    return out.mapInArrow(released(_cut_out(text_at, at, len(docs.columns))), docs.schema)
+    return out.mapInArrow(released(_cut_out(text_at, at, len(docs.columns), least_words)), docs.schema)

@@ -191,40 +191,108 @@ def test_nearest_edges(spark):
     assert ann.nearest(df.limit(0)).count() == 0 and ann.nearest(df.filter("vec_id = 8")).count() == 0
 
 
-def naive_repeats(docs, least):
-    seen, out = {}, set()
-    for d, text in sorted(docs, key=lambda x: x[0]):
-        at = 0
-        for line in (text or "").split("\n"):
-            key = " ".join(substring.normalised(line))
-            if len(key.split()) >= least:
-                if key in seen:
-                    out.add((d, at, min(at + len(line) + 1, len(text)), *seen[key]))
-                else:
-                    seen[key] = (d, at)
-            at += len(line) + 1
+WORD = __import__("re").compile(r"\S+")
+
+
+def naive_passages(docs, least):
+    """(document, index) of every word in a run of ``least`` words that stands earlier too."""
+    seen, out = set(), set()
+    for d, text in sorted(docs, key=lambda x: (x[0] is None, x[0])):
+        w = [substring.normal(x) for x in WORD.findall(text or "")]
+        for i in range(len(w) - least + 1):
+            key = tuple(w[i : i + least])
+            if key in seen:
+                out |= {(d, k) for k in range(i, i + least)}
+            seen.add(key)
     return out
 
 
-def test_repeated_lines_against_brute_force(spark):
-    rng = random.Random(4)
-    lines = ["Line %d has some Wörds %s" % (i, "x " * rng.randint(0, 9)) for i in range(30)] + ["", "short one", "ﬁve   words IN this line"]
-    docs = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randint(0, 8)))) for i in range(40)]
-    df = spark.createDataFrame([(i, t, "k") for i, t in docs], "doc_id long, text string, start string").repartition(3)
-    got = {(r.doc_id, r.start, r.end, r.kept_doc_id, r.kept_start) for r in substring.repeated_lines(df).collect()}
-    assert got == naive_repeats(docs, 5)
-    left = {r.doc_id: r.text for r in substring.without_repeats(df).collect()}
-    for i, text in docs:
-        cut, spans = text, sorted((s, e) for d, s, e, _, _ in got if d == i)
-        for s, e in reversed(spans):
-            cut = cut[:s] + cut[e:]
-        assert left.get(i, "") == cut if not spans or cut.strip() else i not in left
-
-
-def test_repeated_lines_edges(spark):
-    line = "one two three four five six"
-    df = spark.createDataFrame([(3, line, 27), (3, line, 27), (None, line, 27), (5, None, 0), (6, line + "\nmore", 32)], "doc_id long, text string, n_chars int")
-    assert {(r.doc_id, r.start, r.kept_doc_id) for r in substring.repeated_lines(df).collect()} == {(None, 0, 3), (6, 0, 3)}
+def left_over(text, gone):
+    """``text`` without the words numbered in ``gone`` and the blanks after them."""
+    places = [m.start() for m in WORD.finditer(text)] + [len(text)]
+    keep = [text[: places[0]]] + [text[a:b] for k, (a, b) in enumerate(zip(places, places[1:])) if k not in gone]
+    return "".join(keep)
+
+
+def passages(seed):
+    """Documents with passages planted within lines, at their borders and across them."""
+    rng = random.Random(seed)
+    words = ["w%d" % i for i in range(30_000)] + ["Größe", "ﬁve", "e\u0301t"]
+
+    def prose(n):
+        out = []
+        for k in range(n):
+            word = rng.choice(words)
+            out.append(word.capitalize() + rng.choice([".", "!", ".\n"]) if rng.random() < 0.12 else word)
+        return " ".join(out)
+
+    shared = [prose(n) for n in (51, 52, 55, 60, 75, 120, 200, 300)]
+    common = ["All of these lines stand in many of the documents.", prose(30)]
+    docs = []
+    for i in range(120):
+        parts = [prose(rng.randint(0, 120))]
+        if rng.random() < 0.5:
+            parts += [rng.choice(shared).upper() if rng.random() < 0.2 else rng.choice(shared), prose(rng.randint(0, 60))]
+        if rng.random() < 0.6:
+            parts.append("\n" + rng.choice(common) + "\n")
+        docs.append((i, " ".join(parts)))
+    return docs + [(200, docs[3][1]), (201, None), (202, ""), (203, "short text"), (None, docs[5][1])]
+
+
+def test_repeated_passages_against_brute_force(spark):
+    for seed in (4, 5):
+        docs = passages(seed)
+        df = spark.createDataFrame([(i, t, "k", 1) for i, t in docs], "doc_id long, text string, start string, place int").repartition(3)
+        want, got = naive_passages(docs, 50), set()
+        texts = dict(docs)
+        rows = substring.repeated_passages(df).collect()
+        for r in rows:
+            text, kept = texts[r.doc_id] or "", texts[r.kept_doc_id]
+            inside = [k for k, m in enumerate(WORD.finditer(text)) if r.start <= m.start() and m.end() <= r.end]
+            assert len(inside) >= r.n_words >= 50 and not {(r.doc_id, k) for k in inside} & got
+            got |= {(r.doc_id, k) for k in inside}
+            plain = lambda t: [substring.normal(x) for x in t.split()]
+            assert len(inside) > r.n_words or plain(kept[r.kept_start :])[: r.n_words] == plain(text[r.start : r.end])
+        assert want and got == want
+        left = {r.doc_id: r.text for r in substring.without_repeats(df).collect()}
+        for i, text in docs:
+            gone = {k for d, k in want if d == i}
+            cut = left_over(text, gone) if gone else text
+            assert (left[i] == cut) if not gone or cut.strip() else i not in left
+
+
+def test_common_lines_stay(spark):
+    line = "This line of thirteen words in all stands in each of the documents."
+    docs = [(i, " ".join(f"d{i}w{k}" for k in range(80)) + "\n" + line + "\n" + " ".join(f"e{i}w{k}" for k in range(80))) for i in range(30)]
+    assert substring.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).count() == 0
+
+
+def test_periodic_passages(spark):
+    docs = [(i, f"Here starts text {i} " + "buy it now " * 60 + f"and here it ends {i}") for i in range(4)]
+    want, got = naive_passages(docs, 50), set()
+    for r in substring.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        got |= {(r.doc_id, k) for k, m in enumerate(WORD.finditer(docs[r.doc_id][1])) if r.start <= m.start() and m.end() <= r.end}
+    assert got <= want and len(got) >= 0.95 * len(want) and {d for d, _ in got} == {0, 1, 2, 3}
+
+
+def test_words_and_units_do_not_depend_on_neighbours():
+    texts = [t or "" for _, t in passages(6)] + ["日本語の文。これは二つ目です。", " \u3000 a\u2003b\x1fc", "\n\n", "end"]
+    together = substring.Words(texts)
+    text, at, till = together.paragraphs(1)
+    all_ = list(zip(text.tolist(), (at - together.first[text]).tolist(), *(x.tolist() for x in together.digests(at, till))))
+    one = []
+    for k, t in enumerate(texts):
+        w = substring.Words([t])
+        assert [t[a:b] for a, b in zip(w.start, w.end)] == [x for part in t.split() for x in (list(part) if "日" in part and "の" in part or "。" in part else [part])] or "日" in t
+        _, at, till = w.paragraphs(1)
+        one += [(k, a, h, l) for a, h, l in zip(at.tolist(), *(x.tolist() for x in w.digests(at, till)))]
+    assert all_ == one and len(one) > 500
+
+
+def test_repeated_passages_edges(spark):
+    line = " ".join(f"word{k}" for k in range(60))
+    df = spark.createDataFrame([(3, line, 27), (3, line, 27), (None, line, 27), (5, None, 0), (6, "Before it " + line + " more", 32)], "doc_id long, text string, n_chars int")
+    assert {(r.doc_id, r.start, r.kept_doc_id, r.kept_start) for r in substring.repeated_passages(df).collect()} == {(None, 0, 3, 0), (6, 10, 3, 0)}
     rows = sorted((str(r.doc_id), str(r.text), r.n_chars) for r in substring.without_repeats(df).collect())
-    assert rows == [("3", line, 27), ("3", line, 27), ("5", "None", 0), ("6", "more", 4)]
-    assert substring.repeated_lines(df.limit(0)).count() == 0 == substring.without_repeats(df.limit(0)).count()
+    assert rows == [("3", line, 27), ("3", line, 27), ("5", "None", 0), ("6", "Before it more", 14)]
+    assert substring.repeated_passages(df.limit(0)).count() == 0 == substring.without_repeats(df.limit(0)).count()
