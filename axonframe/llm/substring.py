@@ -1,12 +1,13 @@
 """Repeated passages by line and paragraph hashing.
 
-A text's units are its lines and, within a line, its sentences; where a sentence is long it
-also ends where the text itself says so (at words whose hash is least among their
-neighbours), so that a passage is cut alike wherever it stands, in the middle of another
-line too. Neighbouring units of at least ``PARAGRAPH`` words together are a paragraph; one
-starts at every unit. Words are normalised (Unicode compatibility, case folded), paragraphs
-hashed to 128 bits and their digests grouped globally: the earliest occurrence, by document
-and place, is the one that the others are held against.
+A text's units end at words whose hash is the least among their neighbours, and the words
+at which a line or a sentence ends are given lower hashes than others. So a unit is mostly
+some whole lines or sentences, long ones are cut where the text itself says so, and a
+passage is cut alike wherever it stands, in the middle of another line too. Neighbouring
+units of at least ``PARAGRAPH`` words together are a paragraph; one starts at every unit.
+Words are normalised (Unicode compatibility, case folded), paragraphs hashed and their
+digests grouped globally: the earliest occurrence, by document and place, is the one that
+the others are held against.
 
 Paragraphs that lie side by side here and there are one match, and each match is extended
 word by word to both sides as far as the earlier place goes on alike. What has fewer than
@@ -30,9 +31,11 @@ from .common import cut, fresh, released, text_of
 from .licenses import _POWERS, _mixed
 
 #: Passages of fewer words are never removed; a paragraph has at least so many words.
-LEAST_WORDS, PARAGRAPH = 50, 12
+LEAST_WORDS, PARAGRAPH = 50, 8
 #: A word ends a unit if its hash is the least of so many words to either side.
-RADIUS = 4
+RADIUS = 6
+#: Hashes of words that end a line or a sentence lose so many of their highest bits.
+LINE, SENTENCE = 6, 4
 #: Words that end a sentence end with one of these, closing marks aside.
 STOPS, CLOSERS = tuple(".!?…。！？।؟"), "\"'”’»)]}"
 #: Characters of text that are hashed at a time, and words that a worker keeps with their hash.
@@ -64,7 +67,7 @@ _HASHES = Hashes()
 
 class Words:
     """The words of some texts, one after another: start and end (characters of the joined
-    texts), hash, and whether a line or sentence ends there. ``first`` are the texts'
+    texts), hash, and by how much their rank is less as a line or sentence ends there. ``first`` are the texts'
     first words, with their total at the end; ``begin`` the texts' first characters."""
 
     def __init__(self, texts: list[str]):
@@ -88,10 +91,8 @@ class Words:
         lines = np.flatnonzero(chars == 10)
         # Words after which a line, or all, ends: the last ones before each line end.
         last = np.searchsorted(self.start, lines) - 1
-        self.stop = (self.hash & np.uint64(1)).astype(bool)
-        self.stop[last[last >= 0]] = True
-        if len(words):
-            self.stop[-1] = True
+        self.stop = (self.hash & np.uint64(1)).astype(np.uint64) * np.uint64(SENTENCE)
+        self.stop[last[last >= 0]] = LINE
 
     def units(self) -> np.ndarray:
         """First words of the units, with the number of words at the end."""
@@ -102,22 +103,21 @@ class Words:
         before[self.first[self.first < n]] = 0
         with np.errstate(over="ignore"):
             rank = _mixed(self.hash ^ _mixed(before, 5), 6) | np.uint64(1)
-        rank[self.stop] = 0
+        rank >>= self.stop
+        rank[self.first[self.first > 0] - 1] = 0  # a text's last word
         padded = np.concatenate([np.zeros(RADIUS, dtype=np.uint64), rank, np.zeros(RADIUS, dtype=np.uint64)])
         least = rank.copy()
         for k in range(2 * RADIUS + 1):
             np.minimum(least, padded[k : k + n], out=least)
         return np.concatenate([[0], np.flatnonzero(rank <= least) + 1])
 
-    def digests(self, at: np.ndarray, till: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Two hashes of the words from ``at`` up to ``till``."""
+    def digests(self, at: np.ndarray, till: np.ndarray) -> np.ndarray:
+        """Hashes of the words from ``at`` up to ``till``. They are held to 64 bits, as what
+        they let meet is compared word by word outside the paragraph."""
         up, down = _POWERS.upto(len(self.hash) + 1)
         with np.errstate(over="ignore"):
-            out = []
-            for salt in (11, 12):
-                sums = np.concatenate([[np.uint64(0)], np.cumsum((_mixed(self.hash >> np.uint64(1), salt) | np.uint64(1)) * up[: len(self.hash)])])
-                out.append(_mixed((sums[till] - sums[at]) * down[at], salt + 2).view(np.int64))
-        return out[0], out[1]
+            sums = np.concatenate([[np.uint64(0)], np.cumsum((self.hash | np.uint64(1)) * up[: len(self.hash)])])
+            return _mixed((sums[till] - sums[at]) * down[at], 13).view(np.int64)
 
     def paragraphs(self, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, first word, word after the last) of the paragraphs of the texts that
@@ -153,10 +153,9 @@ def _paragraphs(least_words: int):
             for first, texts in chunks(batch.column(2)):
                 words = Words(texts)
                 text, at, till = words.paragraphs(least_words)
-                high, low = words.digests(at, till)
                 take = pa.array(text + first)
-                columns = [ids.take(take), keys.take(take), *(pa.array(x.astype(np.int64)) for x in (at - words.first[text], till - at, high, low))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "doc_key", "at", "n", "high", "low"])
+                columns = [ids.take(take), keys.take(take), *(pa.array(x.astype(np.int32)) for x in (at - words.first[text], till - at)), pa.array(words.digests(at, till))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "doc_key", "at", "n", "digest"])
 
     return run
 
@@ -175,7 +174,7 @@ def _context(reach: int):
                 starts = [words.start[max(0, p - reach) : p + 1][::-1].astype(np.int32) for p in places]
                 n = pa.array([k] * len(places))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(n), batch.column(1).take(n), pa.array(places, pa.int64()), *(pa.array(x, pa.list_(pa.int32())) for x in (before, after, starts))],
+                    [batch.column(0).take(n), batch.column(1).take(n), pa.array(places, pa.int32()), *(pa.array(x, pa.list_(pa.int32())) for x in (before, after, starts))],
                     ["doc_id", "doc_key", "place", "before", "after", "starts"],
                 )
 
@@ -213,7 +212,7 @@ def spans(text: str, matches: list[dict], least_words: int) -> list[tuple[int, i
     return [(int(words.start[a]), int(ends[b]), b - a, kept, start) for a, b, _, kept, start in out]
 
 
-MATCH = "struct<at:long,till:long,kept:long,before:array<int>,after:array<int>,starts:array<int>>"
+MATCH = "struct<at:int,till:int,kept:long,before:array<int>,after:array<int>,starts:array<int>>"
 
 
 def _identified(docs: DataFrame) -> DataFrame:
@@ -226,11 +225,11 @@ def matches(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     places, not yet extended, with ``least_words`` words of the earlier place around them."""
     slim = _identified(docs)
     # Read again rather than kept: hashing twice is cheaper than writing every digest.
-    rows = slim.mapInArrow(released(_paragraphs(least_words)), "doc_id long, doc_key long, at long, n long, high long, low long")
+    rows = slim.mapInArrow(released(_paragraphs(least_words)), "doc_id long, doc_key long, at int, n int, digest long")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "doc_key", "at")
     # Cut, so that the join has two plain exchanges and a hot digest's rows can be split.
-    first = cut(rows.groupBy("high", "low").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter(F.col("first") != F.col("last")).drop("last"))
-    met = rows.join(first, ["high", "low"]).filter(place != F.col("first"))
+    first = cut(rows.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("c")).filter("c > 1").drop("c"))
+    met = rows.join(first, "digest").filter(place != F.col("first"))
     other = ["kept", "kept_key", "shift"]
     met = met.select("doc_id", "doc_key", "at", (F.col("at") + F.col("n")).alias("till"), F.col("first.doc_id").alias("kept"), F.col("first.doc_key").alias("kept_key"), (F.col("at") - F.col("first.at")).alias("shift"))
     row = ["doc_id", "doc_key", *other]
@@ -245,7 +244,7 @@ def matches(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     asked = asked.groupBy(F.col("kept").alias("doc_id"), F.col("kept_key").alias("doc_key")).agg(F.collect_list("place").alias("places"))
     asked = cut(asked.select(F.col("doc_id").alias("a_id"), F.col("doc_key").alias("a_key"), "places"))
     held = slim.join(asked, slim["doc_id"].eqNullSafe(asked["a_id"]) & (slim["doc_key"] == asked["a_key"])).select("doc_id", "doc_key", "text", "places")
-    around = held.mapInArrow(released(_context(least_words)), "doc_id long, doc_key long, place long, before array<int>, after array<int>, starts array<int>")
+    around = held.mapInArrow(released(_context(least_words)), "doc_id long, doc_key long, place int, before array<int>, after array<int>, starts array<int>")
     around = around.groupBy("doc_id", "doc_key", "place").agg(F.first("before").alias("before"), F.first("after").alias("after"), F.first("starts").alias("starts"))
     around = cut(around)
 
