@@ -105,11 +105,13 @@ class Words:
             rank = _mixed(self.hash ^ _mixed(before, 5), 6) | np.uint64(1)
         rank >>= self.stop
         rank[self.first[self.first > 0] - 1] = 0  # a text's last word
-        padded = np.concatenate([np.zeros(RADIUS, dtype=np.uint64), rank, np.zeros(RADIUS, dtype=np.uint64)])
-        least = rank.copy()
-        for k in range(2 * RADIUS + 1):
-            np.minimum(least, padded[k : k + n], out=least)
-        return np.concatenate([[0], np.flatnonzero(rank <= least) + 1])
+        around = np.zeros(RADIUS, dtype=np.uint64)
+        padded = np.concatenate([around, rank, around])
+        before, after = padded[:n].copy(), padded[RADIUS + 1 : RADIUS + 1 + n].copy()
+        for k in range(1, RADIUS):
+            np.minimum(before, padded[k : k + n], out=before)
+            np.minimum(after, padded[RADIUS + 1 + k : RADIUS + 1 + k + n], out=after)
+        return np.concatenate([[0], np.flatnonzero((rank < before) & (rank <= after) | (rank == 0)) + 1])
 
     def digests(self, at: np.ndarray, till: np.ndarray) -> np.ndarray:
         """Hashes of the words from ``at`` up to ``till``. They are held to 64 bits, as what
@@ -166,53 +168,66 @@ def _context(reach: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                words = Words([text_of(batch.column(2)[k].as_py())])
-                short = (words.hash >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                around = Around(text_of(batch.column(2)[k].as_py()), reach)
                 places = batch.column(3)[k].values.to_pylist()
-                before = [short[max(0, p - reach) : p][::-1] for p in places]
-                after = [short[p : p + reach] for p in places]
-                starts = [words.start[max(0, p - reach) : p + 1][::-1].astype(np.int32) for p in places]
                 n = pa.array([k] * len(places))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(n), batch.column(1).take(n), pa.array(places, pa.int32()), *(pa.array(x, pa.list_(pa.int32())) for x in (before, after, starts))],
-                    ["doc_id", "doc_key", "place", "before", "after", "starts"],
+                    [batch.column(0).take(n), batch.column(1).take(n), pa.array(places, pa.int32()), pa.array(map(around.before, places), pa.binary()), pa.array(map(around.after, places), pa.binary())],
+                    ["doc_id", "doc_key", "place", "before", "after"],
                 )
 
     return run
 
 
-def alike(a: np.ndarray, b: np.ndarray) -> int:
-    """Number of first elements that agree."""
+class Around:
+    """The ``reach`` words before (backwards) and after places of a text, four bytes of
+    hash each."""
+
+    def __init__(self, text: str, reach: int):
+        self.words = Words([text])
+        short = (self.words.hash >> np.uint64(32)).astype("<u4")
+        self.reach, self.onward, self.backward = 4 * reach, short.tobytes(), short[::-1].tobytes()
+
+    def before(self, place: int) -> bytes:
+        at = len(self.backward) - 4 * place
+        return self.backward[at : at + self.reach]
+
+    def after(self, place: int) -> bytes:
+        return self.onward[4 * place : 4 * place + self.reach]
+
+
+def alike(a: bytes, b: bytes) -> int:
+    """Number of first words that agree."""
     n = min(len(a), len(b))
-    differ = np.flatnonzero(a[:n] != b[:n])
-    return int(differ[0]) if len(differ) else n
+    if a[:n] == b[:n]:
+        return n // 4
+    return int(np.flatnonzero(np.frombuffer(a[:n], "<u4") != np.frombuffer(b[:n], "<u4"))[0])
 
 
 def spans(text: str, matches: list[dict], least_words: int) -> list[tuple[int, int, int, int | None, int]]:
-    """(start, end, words, kept_doc_id, kept_start) of what goes from ``text``; a match has
-    at, till (words), before, after, starts (the earlier place's words) and kept."""
-    words = Words([text])
-    short = (words.hash >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    """(start, end, words, kept_doc_id, kept_word) of what goes from ``text``; a match has
+    at, till (words), shift, before, after (the earlier place's words) and kept."""
+    around = Around(text, least_words)
     found = []
     for m in matches:
-        left = alike(short[max(0, m["at"] - least_words) : m["at"]][::-1], np.array(m["before"], dtype=np.int32))
-        right = alike(short[m["till"] : m["till"] + least_words], np.array(m["after"], dtype=np.int32))
-        if (n := m["till"] - m["at"] + left + right) >= least_words:
-            found.append((m["at"] - left, m["till"] + right, n, m["kept"], m["starts"][left]))
+        at = m["at"] - alike(around.before(m["at"]), m["before"])
+        till = m["till"] + alike(around.after(m["till"]), m["after"])
+        if till - at >= least_words:
+            found.append((at, till, till - at, m["kept"], at - m["shift"]))
     found.sort(key=lambda x: x[:2])
     out: list[list] = []
     for f in found:
         if out and f[0] <= out[-1][1]:
             if f[1] > out[-1][1]:
                 best = f if f[2] > out[-1][2] else out[-1]
-                out[-1] = [out[-1][0], f[1], best[2], *best[3:]]
+                out[-1] = [out[-1][0], f[1], *best[2:]]
         else:
             out.append(list(f))
-    ends = np.append(words.start, len(text))
-    return [(int(words.start[a]), int(ends[b]), b - a, kept, start) for a, b, _, kept, start in out]
+    starts = np.append(around.words.start, len(text))
+    return [(int(starts[a]), int(starts[b]), b - a, kept, word) for a, b, _, kept, word in out]
 
 
-MATCH = "struct<at:int,till:int,kept:long,before:array<int>,after:array<int>,starts:array<int>>"
+MATCH = "struct<at:int,till:int,shift:int,kept:long,before:binary,after:binary>"
 
 
 def _identified(docs: DataFrame) -> DataFrame:
@@ -220,10 +235,15 @@ def _identified(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("doc_key"), text.alias("text"))
 
 
+def _long_enough(docs: DataFrame, least_words: int) -> DataFrame:
+    """Texts that have room for so many words; Thai or Chinese ones need no blanks."""
+    return _identified(docs).filter(F.length("text") >= least_words)
+
+
 def matches(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, doc_key, found): for each document of ``docs`` its matches with earlier
     places, not yet extended, with ``least_words`` words of the earlier place around them."""
-    slim = _identified(docs)
+    slim = _long_enough(docs, least_words)
     # Read again rather than kept: hashing twice is cheaper than writing every digest.
     rows = slim.mapInArrow(released(_paragraphs(least_words)), "doc_id long, doc_key long, at int, n int, digest long")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "doc_key", "at")
@@ -244,24 +264,21 @@ def matches(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     asked = asked.groupBy(F.col("kept").alias("doc_id"), F.col("kept_key").alias("doc_key")).agg(F.collect_list("place").alias("places"))
     asked = cut(asked.select(F.col("doc_id").alias("a_id"), F.col("doc_key").alias("a_key"), "places"))
     held = slim.join(asked, slim["doc_id"].eqNullSafe(asked["a_id"]) & (slim["doc_key"] == asked["a_key"])).select("doc_id", "doc_key", "text", "places")
-    around = held.mapInArrow(released(_context(least_words)), "doc_id long, doc_key long, place int, before array<int>, after array<int>, starts array<int>")
-    around = around.groupBy("doc_id", "doc_key", "place").agg(F.first("before").alias("before"), F.first("after").alias("after"), F.first("starts").alias("starts"))
+    around = held.mapInArrow(released(_context(least_words)), "doc_id long, doc_key long, place int, before binary, after binary")
+    around = around.groupBy("doc_id", "doc_key", "place").agg(F.first("before").alias("before"), F.first("after").alias("after"))
     around = cut(around)
 
-    def by(side: str, *columns: str) -> DataFrame:
-        return around.select(F.col("doc_id").alias(f"{side}_id"), F.col("doc_key").alias(f"{side}_key"), F.col("place").alias(f"{side}_place"), *columns)
-
-    for side, at, columns in (("a", "at", ("before", "starts")), ("b", "till", ("after",))):
-        there = by(side, *columns)
+    for side, at, column in (("a", "at", "before"), ("b", "till", "after")):
+        there = around.select(F.col("doc_id").alias(f"{side}_id"), F.col("doc_key").alias(f"{side}_key"), F.col("place").alias(f"{side}_place"), column)
         same = runs["kept"].eqNullSafe(there[f"{side}_id"]) & (runs["kept_key"] == there[f"{side}_key"]) & (runs[at] - runs["shift"] == there[f"{side}_place"])
         runs = runs.join(there, same).drop(f"{side}_id", f"{side}_key", f"{side}_place")
-    found = F.struct("at", "till", "kept", "before", "after", "starts").cast(MATCH)
+    found = F.struct("at", "till", "shift", "kept", "before", "after").cast(MATCH)
     return cut(runs.groupBy("doc_id", "doc_key").agg(F.collect_list(found).alias("found")))
 
 
 def _spans(least_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "start", "end", "n_words", "kept_doc_id", "kept_start", "doc_key"]
+        names = ["doc_id", "start", "end", "n_words", "kept_doc_id", "kept_word", "doc_key"]
         for batch in batches:
             rows = []
             for k in range(batch.num_rows):
@@ -275,18 +292,19 @@ def _spans(least_words: int):
 def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """One row for each passage of ``docs`` (doc_id, text) that goes: doc_id, start, end
     (characters of the original text, the blanks up to the next word included), n_words,
-    kept_doc_id, kept_start (where its longest match stands earlier), and doc_key (a hash
-    of the whole text).
+    kept_doc_id, kept_word (the document and the number of words before it, where its
+    longest match stands earlier), and doc_key (a hash of the whole text).
 
     A passage is a run of ``least_words`` words or more that stands at an earlier place
-    with a whole paragraph in it. Null or empty texts: no passages. Null doc_id: last in
+    with a whole paragraph in it. What repeats after ``RADIUS`` words or fewer, such as one
+    word over and over, is no passage of itself but one unit. Null or empty texts: no passages. Null doc_id: last in
     rank. Rows alike in doc_id and text are one document: their passages stay or go
     together, and each row has its own. Ties: doc_id, then the text's hash, then the word.
     Very long texts: read whole. Empty table: no rows. Other columns: ignored."""
-    slim, found = _identified(docs), matches(docs, least_words)
+    slim, found = _long_enough(docs, least_words), matches(docs, least_words)
     found = found.withColumnsRenamed({"doc_id": "a_id", "doc_key": "a_key"})
     held = slim.join(found, slim["doc_id"].eqNullSafe(found["a_id"]) & (slim["doc_key"] == found["a_key"])).select("doc_id", "doc_key", "text", "found")
-    return held.mapInArrow(released(_spans(least_words)), "doc_id long, start long, end long, n_words long, kept_doc_id long, kept_start long, doc_key long")
+    return held.mapInArrow(released(_spans(least_words)), "doc_id long, start long, end long, n_words long, kept_doc_id long, kept_word long, doc_key long")
 
 
 def _cut_out(text_at: int, chars_at: int | None, found_at: int, least_words: int):
