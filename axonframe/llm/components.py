@@ -21,7 +21,7 @@ def _doubled(pointer: DataFrame) -> DataFrame:
     while True:
         up = pointer.select(F.col("v").alias("p"), F.col("p").alias("pp"))
         step = cut(
-            pointer.join(up, "p", "left").select("v", F.coalesce("pp", "p").alias("p"), (F.col("pp") != F.col("p")).alias("moved"))
+            pointer.join(up.hint("merge"), "p", "left").select("v", F.coalesce("pp", "p").alias("p"), (F.col("pp") != F.col("p")).alias("moved"))
         )
         pointer = step.select("v", "p")
         if step.filter("moved").isEmpty():
@@ -37,14 +37,14 @@ def components(links: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         # b > a: the smallest neighbour below b is a hook for b; the rest stay their own roots.
         hooks = edges.groupBy(F.col("b").alias("v")).agg(F.min("a").alias("p"))
-        roots = edges.select(F.col("a").alias("v")).distinct().join(hooks, "v", "left_anti").select("v", F.col("v").alias("p"))
+        roots = edges.select(F.col("a").alias("v")).distinct().join(hooks.hint("merge"), "v", "left_anti").select("v", F.col("v").alias("p"))
         pointer = _doubled(cut(hooks.unionByName(roots)))
-        to = lambda c: pointer.select(F.col("v").alias(c), F.col("p").alias(f"p{c}"))
+        to = lambda c: pointer.select(F.col("v").alias(c), F.col("p").alias(f"p{c}")).hint("merge")
         labels = (
             pointer
             if labels is None
             else cut(
-                labels.join(pointer.select(F.col("v").alias("p"), F.col("p").alias("pp")), "p", "left").select("v", F.coalesce("pp", "p").alias("p"))
+                labels.join(pointer.select(F.col("v").alias("p"), F.col("p").alias("pp")).hint("merge"), "p", "left").select("v", F.coalesce("pp", "p").alias("p"))
             )
         )
         edges = cut(

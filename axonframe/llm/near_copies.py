@@ -22,9 +22,9 @@ from xxhash import xxh64_intdigest
 from .common import cut, fresh, released, text_of
 from .components import components
 from .licenses import _POWERS, _mixed, shingles_of
-from .simhash import _one_row_each, classes, fingerprint
+from .simhash import _one_row_each, fingerprint, links_of
 
-SIMILAR, BANDS, ROWS, LEADERS = 0.8, 40, 6, 1
+SIMILAR, BANDS, ROWS = 0.8, 40, 6
 _FACTORS = _mixed(np.arange(BANDS * ROWS, dtype=np.uint64), 200) | np.uint64(1)
 #: Bytes of text that are hashed at a time.
 CHUNK = 1 << 20
@@ -136,38 +136,46 @@ def _shared(nodes: DataFrame) -> DataFrame:
     members = cut(nodes.select("node", "n", F.explode("bands").alias("bucket")))
     sets = members.groupBy("bucket").agg(F.count("*").alias("c"), *[F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"x{k}") for k in (0, 1)])
     some = sets.filter("c > 1").groupBy("c", "x0", "x1").agg(F.min("bucket").alias("bucket")).select("bucket")
-    return cut(members.join(some, "bucket"))
+    return cut(members.join(some.hint("merge"), "bucket"))
+
+
+def _found(pairs: DataFrame, texts: DataFrame, at_least: float) -> DataFrame:
+    """The pairs (a, b) of similar texts; ``texts``: node, text."""
+    text = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
+    both = pairs.join(text("a").hint("merge"), "a").join(text("b").hint("merge"), "b").select("a", "b", "text_a", "text_b")
+    return cut(both.mapInArrow(released(_similar(at_least)), "a long, b long"))
 
 
 def similar_classes(nodes: DataFrame, slim: DataFrame, links: DataFrame, at_least: float = SIMILAR) -> DataFrame:
-    """(node, root) of the nodes joined by ``links`` (a, b; stars: b is its class's smallest
-    node) or similarity. ``nodes``: node,
-    n, digest, bands; ``slim``: digest, text."""
+    """(node, root) of the nodes joined by ``links`` (a, b) or similarity; nodes that
+    neither joins with another may be absent. ``nodes``: node, n, digest, bands; ``slim``:
+    digest, text."""
     members = _shared(nodes)
-    wanted = nodes.select("node", "digest").join(members.select("node").distinct(), "node")
-    texts = cut(slim.select("digest", "text").join(wanted, "digest").groupBy("node").agg(F.min("text").alias("text")))
-    label, tried = cut(links.select(F.col("a").alias("node"), F.col("b").alias("root"))), None
-    for k in range(LEADERS + 1):
-        m = members.join(label, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
-        lead = m.groupBy("bucket").agg(F.min_by(F.struct("node", "n", "root"), F.xxhash64("node", F.lit(k))).alias("l"), F.min("root").alias("low"), F.max("root").alias("high"))
-        lead = lead.filter("low < high").select("bucket", "l")
-        if k < LEADERS:
-            other = lead.select("bucket", "l.*")
-        else:
-            m = cut(m.join(lead.select("bucket"), "bucket"))
-            other = m
-        other = other.select("bucket", F.col("node").alias("node_b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-        pairs = m.join(other, "bucket").filter((F.col("root") != F.col("root_b")) & (F.least("n", "n_b") >= at_least * F.greatest("n", "n_b") - 1e-9))
-        pairs = pairs.filter("node < node_b") if k == LEADERS else pairs
-        pairs = pairs.select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct()
-        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        text = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
-        both = pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b")
-        found = cut(both.mapInArrow(released(_similar(at_least)), "a long, b long"))
-        if not found.isEmpty():
-            label = components(label.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
-    return label
+    wanted = nodes.select("node", "digest").join(members.select("node").distinct().hint("merge"), "node")
+    texts = cut(slim.select("digest", "text").join(wanted.hint("merge"), "digest").groupBy("node").agg(F.min("text").alias("text")))
+    close = F.least("n", "n_b") >= at_least * F.greatest("n", "n_b") - 1e-9
+    pair = (F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b"))
+    # Each bucket against its leader, which joins most of what belongs together.
+    lead = members.groupBy("bucket").agg(F.min_by(F.struct("node", "n"), F.xxhash64("node")).alias("l"))
+    lead = lead.select("bucket", F.col("l.node").alias("node_b"), F.col("l.n").alias("n_b"))
+    stars = members.join(lead.hint("merge"), "bucket").filter(close & (F.col("node") != F.col("node_b"))).select(*pair).distinct()
+    label = cut(components(links.unionByName(_found(stars, texts, at_least))))
+    # What a bucket holds of several classes, pair by pair.
+    m = members.join(label.hint("merge"), "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
+    mixed = m.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("bucket")
+    m = cut(m.join(mixed.hint("merge"), "bucket"))
+    other = m.select("bucket", F.col("node").alias("node_b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
+    pairs = m.join(other.hint("merge"), "bucket").filter(close & (F.col("node") < F.col("node_b")) & (F.col("root") != F.col("root_b")))
+    pairs = pairs.select(*pair, F.col("root").alias("root_a"), "root_b").distinct()
+    found = _found(cut(pairs.select("a", "b")), texts, at_least)
+    if found.isEmpty():
+        return label
+    # The classes that the new pairs join: their links are few.
+    named = label.unionByName(m.select("node", "root")).distinct()
+    of = lambda c: named.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    joined = found.join(of("a").hint("merge"), "a").join(of("b").hint("merge"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+    new = components(joined).select(F.col("node").alias("root"), F.col("root").alias("new"))
+    return cut(named.join(new.hint("merge"), "root", "left").select("node", F.coalesce("new", "root").alias("root")))
 
 
 def keep_one(docs: DataFrame, at_least: float = SIMILAR, max_bits: int = 4) -> DataFrame:
@@ -182,12 +190,14 @@ def keep_one(docs: DataFrame, at_least: float = SIMILAR, max_bits: int = 4) -> D
     own, least, order = fresh(docs, "doc", "component", "order")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("digest"))
     signs = cut(slim.mapInArrow(released(_signs), "doc_id long, digest long, fp long, node long, n long, bands array<long>"))
-    nodes = cut(signs.groupBy("node").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("least"), F.min("n").alias("n"), F.min("digest").alias("digest"), F.first("bands").alias("bands")))
-    alike = nodes.select("node", "fp").join(classes(signs.select("doc_id", "fp"), max_bits).select("fp", F.col("root").alias("class")), "fp").select("node", "class")
-    links = alike.join(alike.groupBy("class").agg(F.min("node").alias("b")), "class").select(F.col("node").alias("a"), "b")
-    label = similar_classes(nodes, slim, links, at_least)
-    named = cut(nodes.join(label, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")))
-    named = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "root", "component_id")
+    nodes = cut(signs.groupBy("node").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("first"), F.min("n").alias("n"), F.min("digest").alias("digest"), F.first("bands").alias("bands")))
+    prints = cut(nodes.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("c")))
+    of = lambda c: prints.select(F.col("fp").alias(c), F.col("least").alias(f"node_{c}")).hint("merge")
+    near = cut(links_of(prints, max_bits)).join(of("a"), "a").join(of("b"), "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    same = nodes.select("node", "fp").join(prints.filter("c > 1").select("fp", "least").hint("merge"), "fp").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    label = similar_classes(nodes, slim, near.unionByName(same), at_least)
+    named = cut(nodes.join(label.hint("merge"), "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")))
+    named = named.join(named.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("node", "root", "component_id")
     chosen = (
         signs.select("doc_id", "digest", "node").join(named, "node")
         .filter(F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from .cells import arranged, dealt
-from .common import cut, fresh, released, text_of, unsigned_hex
+from .common import cut, fan_out, fresh, released, session_of, text_of, unsigned_hex
 from .components import components
 
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
@@ -237,17 +237,24 @@ def fingerprinted(docs: DataFrame, name: str, words_in_shingle: int = 4, seed: i
     return docs.mapInArrow(released(_fingerprints(words_in_shingle, seed, docs.columns.index(text), name)), schema)
 
 
+def links_of(prints: DataFrame, max_bits: int = 4) -> DataFrame:
+    """Pairs (a, b) of the distinct fingerprints ``prints`` (fp) at most ``max_bits`` (4 or
+    fewer) bits apart; a pair may come more than once."""
+    if max_bits > 4:
+        raise ValueError("the segments' keys are complete for at most 4 differing bits")
+    # Each fingerprint has some 26 keys: deal them out before that.
+    spread = prints.select("fp").repartition(fan_out(session_of(prints)), "fp")
+    members = spread.mapInArrow(released(_bucketed), "bucket long, member long")
+    return arranged(dealt(members, CELL)).select("cell", "bucket", "member", "lot", "lot_a", "lot_b").mapInArrow(released(_verified(max_bits)), "a long, b long")
+
+
 def classes(prints: DataFrame, max_bits: int = 4) -> DataFrame:
     """``prints`` (doc_id, fp) to (fp, root, component_id): for each distinct fingerprint
     its class (the smallest linked fingerprint) and the smallest doc_id among the documents whose fingerprints it reaches by links of at most
     ``max_bits`` (4 or fewer) differing bits. Only distinct fingerprints are compared, so
     a group of copies is one of them, whatever its size."""
-    if max_bits > 4:
-        raise ValueError("the segments' keys are complete for at most 4 differing bits")
     least = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    members = least.select("fp").mapInArrow(released(_bucketed), "bucket long, member long")
-    links = arranged(dealt(members, CELL)).select("cell", "bucket", "member", "lot", "lot_a", "lot_b").mapInArrow(released(_verified(max_bits)), "a long, b long")
-    roots = components(links)
+    roots = components(links_of(least, max_bits))
     # Few fingerprints have links; the others are their own class.
     linked = least.join(roots.withColumnRenamed("node", "fp"), "fp")
     own = linked.groupBy("root").agg(F.min("least").alias("component_id"))
