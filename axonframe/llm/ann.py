@@ -172,10 +172,12 @@ def nearest(
     A window reaches ``least_window`` ranks or the ``share`` of all ranks to either side,
     whichever is more. Vectors null, empty, zero or with a null or non-finite component, or
     of another length than most: take no part. Null vec_id: takes no part. Rows with a
-    query's own vec_id are no candidates for it. Equal vectors are one entry of the index
-    and come out by their smallest ids. Repeated rows: one. Empty table, or a lone vector:
+    query's own vec_id are no candidates for it. Equal vectors (told by a 64-bit hash) are
+    one entry of the index and come out by their smallest ids. Repeated rows: one. Empty table, or a lone vector:
     no rows. Other columns: ignored."""
-    slim = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    # Single precision stays so; all else is held in double, as the score is of the original.
+    kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
+    slim = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"))
     slim = slim.filter(F.col("vec_id").isNotNull() & usable())
     lengths = slim.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
     empty = "query_id long, rank int, vec_id long, score double"
@@ -193,7 +195,7 @@ def nearest(
     mean = m[0, 1:] / n
     order = Curves(mean, m[1:, 1:] / n - np.outer(mean, mean), curves, dims, bits, seed)
     window = max(least_window, int(np.ceil(share * n)))
-    placed = nodes.select("node", "asks", "embedding").mapInArrow(released(_placed(order)), "curve int, place long, node long, asks boolean, embedding array<float>")
+    placed = nodes.select("node", "asks", "embedding").mapInArrow(released(_placed(order)), f"curve int, place long, node long, asks boolean, embedding {kind}")
     # Cut: partitions and their order are the same for the sizes and for the ranks.
     parts = cut(placed.repartitionByRange(fan_out(vectors.sparkSession), "curve", "place", "node").sortWithinPartitions("curve", "place", "node"))
     sizes = parts.groupBy(F.spark_partition_id().alias("part"), "curve").count().collect()  # one row a partition and curve in it
@@ -204,7 +206,7 @@ def nearest(
         seen[curve] += count
     asking = nodes.filter("asks").count()
     chunks = max(1, -(-asking * min(n, 2 * window + BLOCK) // max(1, n) // QUERIES))
-    cells = parts.mapInArrow(released(_ranked(offsets, window, n, chunks)), "cell long, query boolean, rank long, node long, embedding array<float>")
+    cells = parts.mapInArrow(released(_ranked(offsets, window, n, chunks)), f"cell long, query boolean, rank long, node long, embedding {kind}")
     found = cells.groupBy("cell").applyInArrow(_answers(window, k + 1), "asked long, found long, score double").distinct()
     top = found.withColumn("r", F.row_number().over(Window.partitionBy("asked").orderBy("score", "found"))).filter(F.col("r") <= 4 * (k + 1))
     named = top.join(nodes.select(F.col("node").alias("found"), F.explode("ids").alias("vec_id")), "found")

@@ -19,11 +19,13 @@ def shared_dir(spark: SparkSession) -> str:
     """The checkpoint folder that driver and executors share.
 
     It is the cluster's ``spark.checkpoint.dir``; a folder of our own is set only where
-    that is unset, as in local tests.
+    that is unset and everything runs on one machine, as in local tests.
     """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if configured is None and not sc.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="axonframe-"))
     return configured or sc.getCheckpointDir()
 
@@ -58,15 +60,9 @@ def text_of(row_text) -> str:
     return row_text if row_text is not None else ""
 
 
-#: Rows that go to a Python worker at a time; long texts make even few rows large.
-BATCH_ROWS = 1024
-
-
 def released(run):
     """``run`` (a function over Arrow batches) that gives its memory back to the system when
-    a partition ends: workers live on, and share their executor's memory with the next.
-    It also sets the session's batches to ``BATCH_ROWS`` rows."""
-    SparkSession.active().conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    a partition ends: workers live on, and share their executor's memory with the next."""
 
     def wrapped(batches):
         try:
@@ -87,6 +83,17 @@ def released(run):
     return wrapped
 
 
+def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int, seed: int, agg=F.min) -> DataFrame:
+    """(doc_id, label, text) of at most ``rows`` labelled documents, one row a doc_id, in
+    the order of a hash of doc_id. Labels or ids null: left out. A document with several
+    labels has their ``agg``; of several texts the one whose hash is least."""
+    some = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
+    some = some.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(agg(F.col(label).cast("int")).alias("label"))
+    some = some.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(rows)
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return slim.join(F.broadcast(some), "doc_id").groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

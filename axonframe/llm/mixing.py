@@ -57,10 +57,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
 
 def sample(
     docs: DataFrame, size: str, source: str = "source", doc_id: str = "doc_id", stats: DataFrame | None = None, seed: int = 10,
-    weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0,
+    weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, added: tuple[str, ...] = ("source_size", "target", "copies"),
 ) -> DataFrame:
     """``docs`` with source_size (long), target (double) and copies (long, at most
-    ``most``) of its row. ``stats``, if given, holds the rows' doc_id, source and size
+    ``most``) of its row, called as ``added`` says. ``stats``, if given, holds the rows' doc_id, source and size
     alone and is read instead of ``docs`` for all sums.
 
     Null source: a source of its own, the last. Null doc_id: sampled like any other. Null
@@ -106,9 +106,10 @@ def sample(
     ready = in_cells(keyed(docs)).join(cells, [key, none, band, part])
     at = F.col(place) + F.row_number().over(order)
     crossed = F.floor(F.col(shift) + F.col(rate) * at) - F.floor(F.col(shift) + F.col(rate) * (at - 1))
-    out = ready.withColumn("copies", F.least(crossed, F.lit(int(most))).cast("long"))
-    own = [c for c in docs.columns if c.lower() not in ("source_size", "target", "copies")]
-    return out.select(*[F.col(f"`{c}`") for c in own], F.col(total).cast("long").alias("source_size"), F.col(goal).alias("target"), "copies")
+    (number,) = fresh(ready, "copies")
+    out = ready.withColumn(number, F.least(crossed, F.lit(int(most))).cast("long"))
+    own = [c for c in docs.columns if c.lower() not in [a.lower() for a in added]]
+    return out.select(*[F.col(f"`{c}`") for c in own], F.col(total).cast("long").alias(added[0]), F.col(goal).alias(added[1]), F.col(number).alias(added[2]))
 
 
 def mix(docs: DataFrame, **parameters) -> DataFrame:
@@ -117,10 +118,11 @@ def mix(docs: DataFrame, **parameters) -> DataFrame:
     (size,) = fresh(docs, "words")
     sized = docs.withColumn(size, words())
     stats = cut(sized.select("doc_id", "source", size))
-    taken = sample(sized, size, stats=stats, **parameters).filter("copies > 0")
+    added = tuple(fresh(sized, "source_size", "target", "copies"))
+    taken = sample(sized, size, stats=stats, added=added, **parameters).filter(F.col(added[2]) > 0)
     # explode only repeats rows: the window before it has placed every document once.
     (copy,) = fresh(taken, "copy")
-    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(added[2]).cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mixed_sizes(docs: DataFrame, **parameters) -> DataFrame:

@@ -5,9 +5,10 @@ into full windows and a rest; the rests of a block are packed by minimum bin sla
 longest rest opens a window, and a bitset dynamic programme over the block's multiset of
 remaining lengths (one machine integer holds all reachable sums; counts are split
 binarily) finds the multiset of lengths that fills the window closest to its capacity;
-its counts are read back and those pieces leave the block. What the last windows of a
-partition hold is cut into sequences whose lengths are powers of two, which need no
-padding.
+its counts are read back and those pieces leave the block. Pieces of windows that stay
+short wait for the next block; once they hold more than half a block they are cut to fill
+windows. What the last windows of a partition hold is cut into sequences whose lengths are
+powers of two, which need no padding.
 
 Everything happens where the rows are read: no shuffle, and memory is bounded by the
 block (``block_tokens``) whatever the size of a partition or of a document.
@@ -167,10 +168,12 @@ def powers(n: int) -> list[int]:
 Piece = tuple[int, int, int, int, int]
 
 
-def pack_block(sizes: list[int], capacity: int, last: bool) -> tuple[list[Piece], list[Piece], int]:
+def pack_block(sizes: list[int], capacity: int, last: bool, most: int | None = None) -> tuple[list[Piece], list[Piece], int]:
     """Pack whole documents of ``sizes`` tokens: (pieces placed, pieces left over, number
     of sequences). The left over pieces are those of windows that minimum bin slack could
-    not fill; with ``last`` they are cut into sequences of power-of-two lengths instead."""
+    not fill. Where they hold more than ``most`` tokens (none: any number is fine) they are
+    cut so as to fill windows, and less than one window is left over; with ``last`` that is
+    cut into sequences of power-of-two lengths too."""
     pieces: list[Piece] = []
     rests, sequence = [], 0
     for d, n in enumerate(sizes):
@@ -190,20 +193,21 @@ def pack_block(sizes: list[int], capacity: int, last: bool) -> tuple[list[Piece]
             sequence += 1
         else:
             over += [rests[i] for i in window]
-    if not last:
-        return pieces, [(d, s, n, -1, -1) for d, s, n in over], sequence
     total = sum(n for _, _, n in over)
-    rooms = [capacity] * (total // capacity) + powers(total % capacity)
-    used = 0
+    if not last and (most is None or total <= most):
+        return pieces, [(d, s, n, -1, -1) for d, s, n in over], sequence
+    rooms = iter([capacity] * (total // capacity) + (powers(total % capacity) if last else []))
+    room, used, rest = next(rooms, 0), 0, []
     for d, s, n in over:
-        while n:
-            k = min(n, rooms[0] - used)
+        while n and room:
+            k = min(n, room - used)
             pieces.append((d, s, k, sequence, used))
             s, n, used = s + k, n - k, used + k
-            if used == rooms[0]:
-                rooms.pop(0)
-                used, sequence = 0, sequence + 1
-    return pieces, [], sequence
+            if used == room:
+                room, used, sequence = next(rooms, 0), 0, sequence + 1
+        if n:
+            rest.append((d, s, n, -1, -1))
+    return pieces, rest, sequence
 
 
 PIECES = T.StructType(
@@ -226,7 +230,7 @@ def _packed(path: str, closing: int, capacity: int, block_tokens: int, with_ids:
 
         def flush(last: bool) -> pa.RecordBatch:
             nonlocal held, tokens, done
-            placed, over, n = pack_block([len(h[1]) // 2 for h in held], capacity, last)
+            placed, over, n = pack_block([len(h[1]) // 2 for h in held], capacity, last, max(capacity, block_tokens // 2))
             rows: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")}
             ids_out = []
             for d, s, k, q, o in placed:

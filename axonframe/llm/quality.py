@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, released, text_of
+from .common import cut, fresh, labelled, released, text_of
 
 #: Most labelled rows that the classifier is fitted on, in the order of a hash of their id.
 SAMPLE_ROWS = 20_000
@@ -90,11 +90,10 @@ def _described(text_at: int, keep: list[int]):
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int = 1) -> Logistic | None:
     """The classifier, from at most ``sample_rows`` labelled documents (labels: doc_id,
     quality 0/1); None if they are of one kind only. Labels null: left out."""
-    some = labels.filter("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-    some = some.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id", "quality").limit(sample_rows)
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id")
-    rows = joined.select("quality", "text").mapInArrow(released(_described(1, [0])), "quality int, x array<double>").limit(2 * sample_rows).collect()
-    y = np.array([r.quality for r in rows], dtype=float)
+    sample = labelled(docs, labels, "quality", sample_rows, seed)
+    rows = sample.mapInArrow(released(_described(2, [0, 1])), "doc_id long, label int, x array<double>").collect()
+    rows.sort(key=lambda r: r.doc_id)  # sums in one order, whatever the partitions
+    y = np.array([r.label for r in rows], dtype=float)
     if not len(y) or y.min() == y.max():
         return None
     return Logistic(np.array([r.x for r in rows]), y)
@@ -195,7 +194,8 @@ def judge(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = 0.5, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``docs`` without the documents that ``judge`` rejects; all columns stay."""
+    """``docs`` without the documents that ``judge`` rejects; all columns stay. Evidence is
+    worked out twice, which is cheaper than keeping every text beside it."""
     model = fit(docs, labels, sample_rows)
     evidence, h, p = fresh(docs, "evidence", "host", "path")
     hc, pc = _sited(docs, host, path)

@@ -19,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, released, text_of
+from .common import cut, labelled, released, text_of
 from .merges import Memo
 
-#: Bounds: labelled rows fitted on, features kept, words whose features a worker keeps.
-SAMPLE_ROWS, MOST_FEATURES, MOST_WORDS = 12_000, 400, 200_000
+#: Bounds: labelled rows fitted on, words whose features a worker keeps.
+SAMPLE_ROWS, MOST_WORDS = 12_000, 200_000
+#: A feature stands in so many toxic documents of the sample at least.
+LEAST_SEEN = 5
 GRADES = 3
 _STEM = re.compile(r"[^\W\d_]+")
 
@@ -130,11 +132,9 @@ def _slopes(s: np.ndarray, b: np.ndarray, grade: np.ndarray, p: np.ndarray) -> t
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int = 5) -> Ordinal | None:
     """The model, from at most ``sample_rows`` labelled documents (labels: doc_id, toxic
-    0/1); None if they are of one kind only. Labels null: left out."""
-    some = labels.filter("toxic is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-    some = some.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id", "toxic").limit(sample_rows)
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sample = cut(slim.join(F.broadcast(some), "doc_id").select("toxic", "text"))
+    0/1), whatever partitions they lie in; None if they are of one kind only. Labels null:
+    left out."""
+    sample = cut(labelled(docs, labels, "toxic", sample_rows, seed, F.max).select(F.col("label").alias("toxic"), "text", "doc_id"))
     n = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if not n.get(0) or not n.get(1):
         return None
@@ -142,12 +142,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, seed
     seen = sample.mapInArrow(released(_seen), "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     both = F.col("clean") + F.col("toxic")
     z = (F.col("toxic") - both * share) / F.sqrt(both * (1 - both / F.lit(total + 1.0)) * (share * (1 - share)))
-    chosen = seen.filter((F.col("toxic") >= 5) & (F.col("toxic") > F.col("clean") * 0.3)).withColumn("z", z).filter("z > 6").orderBy(F.desc("z"), "feature").limit(MOST_FEATURES)
+    chosen = seen.filter((F.col("toxic") >= LEAST_SEEN) & (F.col("toxic") > F.col("clean") * 0.3)).withColumn("z", z).filter("z > 6").orderBy(F.desc("z"), "feature")
     chosen = chosen.select("feature", "z").collect()
     names = [r.feature for r in chosen]
     if not names:
         return None
-    rows = sample.mapInArrow(released(_counted(names)), "toxic int, n long, feature array<int>, count array<int>").limit(2 * sample_rows).collect()
+    rows = sample.mapInArrow(released(_counted(names)), "toxic int, doc_id long, n long, feature array<int>, count array<int>").collect()
+    rows.sort(key=lambda r: r.doc_id)  # sums in one order, whatever the partitions
     return Ordinal(names, [r.z for r in chosen], [dict(zip(r.feature, r["count"])) for r in rows], [r.n for r in rows], np.array([r.toxic for r in rows]))
 
 
@@ -158,8 +159,8 @@ def _counted(names: list[str]):
             counts, lengths = reader(list(map(text_of, batch.column(1).to_pylist())))
             ints = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(lengths, pa.int64()), pa.array([list(c) for c in counts], ints), pa.array([list(c.values()) for c in counts], ints)],
-                ["toxic", "n", "feature", "count"],
+                [batch.column(0), batch.column(2), pa.array(lengths, pa.int64()), pa.array([list(c) for c in counts], ints), pa.array([list(c.values()) for c in counts], ints)],
+                ["toxic", "doc_id", "n", "feature", "count"],
             )
 
     return run

@@ -297,3 +297,11 @@ def test_repeated_passages_edges(spark):
     rows = sorted((str(r.doc_id), str(r.text), r.n_chars) for r in substring.without_repeats(df).collect())
     assert rows == [("3", line, 27), ("3", line, 27), ("5", "None", 0), ("6", "Before it more", 14)]
     assert substring.repeated_passages(df.limit(0)).count() == 0 == substring.without_repeats(df.limit(0)).count()
+
+
+def test_nearest_scores_are_of_the_original_doubles(spark):
+    x = [(i, [1.0 + i * 1e-9, 2.0, 1e-60 if i == 3 else 0.5]) for i in range(0, 12)] + [(50, [1e-60, 0.0, 0.0])]
+    got = {(r.query_id, r.vec_id): r.score for r in ann.nearest(spark.createDataFrame(x, "vec_id long, embedding array<double>"), queries="vec_id = 0").collect()}
+    vectors = dict(x)
+    assert got[(0, 1)] == 1.0000000010000000 - 1.0 and (0, 50) not in got or len(got) == 10
+    assert all(s == float(np.sqrt(((np.array(vectors[v]) - np.array(vectors[q])) ** 2).sum())) for (q, v), s in got.items())

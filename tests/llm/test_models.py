@@ -206,3 +206,76 @@ def test_short_license_notices():
     got = scan(["x\nAll rights reserved.", "SPDX-License-Identifier: MIT", "all rights", "reserved", "ñ SPDX-License-Identifier: Apache-2.0", "rights reserved", ""])
     assert got == [[("All-rights-reserved", 2, 21, 1.0)], [("MIT", 0, 28, 1.0)], [], [], [("Apache-2.0", 2, 37, 1.0)], [], []]
     assert licenses.Scanner({"x": ["one two"]})(["one two"]) == [[("x", 0, 7, 1.0)]]
+
+
+def test_models_do_not_depend_on_the_layout(spark, rated, insults):
+    for module, call, rows, columns in (
+        (toxicity, "severity", insults, ("severity", "p_toxic")), (quality, "judge", rated, ("p_document", "path_posterior", "quality")),
+    ):
+        docs, labels = rows
+        schema = "doc_id long, text string" + (", lang string, source string" if len(docs[0]) > 2 else "")
+        docs = docs + [docs[0][:1] + ("another text " * 5,) + docs[0][2:]] + docs[5:7]
+        df, some = spark.createDataFrame(docs, schema), spark.createDataFrame(labels[:400] + [(0, 0, 1)], "doc_id long, quality int, toxic int")
+        key = lambda r: (r.doc_id, *(r[c] for c in columns))
+        a = sorted(map(key, getattr(module, call)(df.coalesce(1), some).collect()))
+        b = sorted(map(key, getattr(module, call)(df.repartition(16), some.repartition(7)).collect()))
+        assert [x[0] for x in a] == [x[0] for x in b] and np.allclose([x[1:] for x in a], [x[1:] for x in b], rtol=0, atol=1e-9)
+
+
+def test_ordinal_fit_is_a_maximum_of_the_likelihood():
+    rng = np.random.default_rng(3)
+    counts = [{k: int(n) for k, n in enumerate(rng.poisson(0.3 + (i % 4) * np.array([0.8, 0.4, 0.0]))) if n} for i in range(400)]
+    lengths, toxic = rng.integers(20, 60, 400).tolist(), np.array([int(i % 4 > 0) for i in range(400)])
+    weight, ridge = [3.0, 2.0, 1.0], 3e-5
+    model = toxicity.Ordinal(["a", "b", "c"], weight, counts, lengths, toxic, ridge)
+    x = np.array([[math.log2(1 + c.get(k, 0)) for k in range(3)] + [math.log(1 + n)] for c, n in zip(counts, lengths)])
+    x[:, 3] -= x[:, 3].mean()
+    held = x[:, :3] @ weight
+    cuts = np.quantile(held[toxic == 1], [1 / 3, 2 / 3])
+    grade = np.where(toxic == 1, 1 + (held >= cuts[0]) + (held >= cuts[1]), 0)
+
+    def loss(w, b):
+        edge = [1.0, *[1 / (1 + np.exp(t - x @ w)) for t in b], 0.0]
+        up = [np.broadcast_to(e, len(x)) for e in edge]
+        p = np.choose(grade, [up[k] - up[k + 1] for k in range(4)])
+        return -np.log(p).mean() + ridge / 2 * (w @ w)
+
+    best = loss(model.w, model.b)
+    assert list(model.b) == sorted(model.b)
+    for k in range(4):
+        for step in (-0.02, 0.02):
+            assert loss(model.w + step * (np.arange(4) == k), model.b) > best - 1e-5
+    for k in range(3):
+        for step in (-0.02, 0.02):
+            assert loss(model.w, model.b + step * (np.arange(3) == k)) > best - 1e-5
+    up = model.exceed(counts, lengths)
+    assert np.allclose(up, [[1 / (1 + np.exp(t - s)) for t in model.b] for s in x @ model.w]) and (np.diff(up, axis=1) <= 0).all()
+
+
+def test_mix_leaves_columns_of_the_same_names_alone(spark):
+    rows = [(i, "some words here", "a" if i % 2 else "b", "MINE", 77, -1.0, i) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, target string, copies int, source_size double, words long")
+    got = mixing.mix(df)
+    assert got.columns == df.columns and set(map(tuple, got.collect())) <= set(rows) and got.count() == 30
+
+
+def test_checkpoint_folder_must_be_shared(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from axonframe.llm import common
+
+    def session(master, conf=None):
+        held = []
+        sc = SimpleNamespace(master=master, getConf=lambda: SimpleNamespace(get=lambda k, d: conf), getCheckpointDir=lambda: held[-1] if held else None, setCheckpointDir=held.append)
+        return SimpleNamespace(sparkContext=sc)
+
+    assert common.shared_dir(session("spark://host:7077", "hdfs://there/x")) == "hdfs://there/x"
+    assert common.shared_dir(session("local[4]"))
+    with pytest.raises(RuntimeError):
+        common.shared_dir(session("spark://host:7077"))
+
+
+def test_operators_leave_the_session_as_it_is(spark):
+    before = dict(spark.sparkContext.getConf().getAll()) | {"rows": spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")}
+    licenses.notices(spark.createDataFrame([(1, "All rights reserved.")], "doc_id long, text string"), licenses.ALL).count()
+    assert before == dict(spark.sparkContext.getConf().getAll()) | {"rows": spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")}

@@ -107,3 +107,21 @@ def test_count_tokens_edges(spark):
     long = len(plain(path, "a " * 3000))
     assert got == {(1, 0, 0, False), (None, 2, len(plain(path, "é")), False), (2, 6000, long, True)}
     assert token_count.count_tokens(df, path).count() == 4 and token_count.count_tokens(df.limit(0), path).count() == 0
+
+
+@pytest.mark.parametrize("sizes", [[1500] * 10_000, [1100] * 9_000, [700, 1500, 900] * 3_000])
+def test_rests_that_fit_no_window_do_not_pile_up(sizes):
+    capacity, block = 2048, 100_000
+    held, longest, placed, sequences = [], 0, 0, 0
+    for at in range(0, len(sizes), 100):
+        held += sizes[at : at + 100]
+        longest = max(longest, sum(held))
+        if sum(held) > block:
+            pieces, over, n = packing.pack_block(held, capacity, False, block // 2)
+            rows = {}
+            for _, _, length, q, o in pieces:
+                rows.setdefault(q, []).append((o, length))
+            assert all(sum(length for _, length in r) == capacity for r in rows.values()) and len(rows) == n
+            placed, sequences, held = placed + sum(p[2] for p in pieces), sequences + n, [p[2] for p in over]
+            assert sum(held) <= block // 2
+    assert longest <= block + 100 * max(sizes) + block // 2 and placed + sum(held) == sum(sizes) and placed == sequences * capacity
