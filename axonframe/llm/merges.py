@@ -3,9 +3,11 @@
 The last token of a prefix's encoding is the one token that ends there and may follow the
 last token before it, so merging is a finite-state function. A state is the set of places
 from which a token may still run: (vocabulary-trie node, last token there, tokens counted
-since). A transition on a symbol carries the change of the number of tokens; the last
-token of a state's prefix stands with the state, so encodings are read back from the end.
-States are determinised as texts need them and kept for the life of a worker.
+since). A transition on a symbol is annotated with the change of the number of tokens, so
+the tokens of a text are counted by adding up what its transitions emit. The last token of
+a state's prefix stands with the state, so encodings are read back from the end. States are
+determinised as texts need them and kept while there is room; as a state is what it means,
+a table that is full starts anew with the states that are in use.
 """
 
 from __future__ import annotations
@@ -98,39 +100,49 @@ class MergeTransducer:
         self.number, self.meaning = {start: 0}, [start]
         #: Last token of a state's prefix.
         self.last = np.full(self.MOST_STATES + 1, -1, dtype=np.int32)
+        #: Transitions taken one at a time: state and symbol to (next state, tokens emitted).
+        self.steps: dict[int, tuple[int, int]] = {}
         self._resize(16)
 
+    def state_of(self, meaning: bytes) -> int:
+        if (state := self.number.get(meaning)) is None:
+            state = self.number[meaning] = len(self.meaning)
+            self.meaning.append(meaning)
+        return state
+
     def _resize(self, bits: int) -> None:
         """Transitions as a hash table of 2^bits places, probed in order: state and symbol to
-        the next state. It follows the number of transitions, not of states times symbols."""
-        old = (self.keys[self.keys >= 0], self.next[self.keys >= 0]) if hasattr(self, "keys") and len(self.meaning) > 1 else None
+        the next state and the tokens emitted. It follows the number of transitions, not of
+        states times symbols."""
+        there = self.keys >= 0 if hasattr(self, "keys") and len(self.meaning) > 1 else None
+        old = (self.keys[there], self.next[there], self.emit[there]) if there is not None else None
         self.bits, self.used = bits, 0
-        self.keys, self.next = np.full(1 << bits, -1, dtype=np.int64), np.full(1 << bits, -1, dtype=np.int32)
+        self.keys, self.next, self.emit = (np.full(1 << bits, -1, dtype=t) for t in (np.int64, np.int32, np.int16))
         if old is not None:
-            for key, to in zip(*(v.tolist() for v in old)):
-                self._put(key, to)
+            for row in zip(*(v.tolist() for v in old)):
+                self._put(*row)
 
-    def _put(self, key: int, to: int) -> None:
+    def _put(self, key: int, to: int, emitted: int) -> None:
         place = (key * _SPREAD & 0xFFFFFFFFFFFFFFFF) >> (64 - self.bits)
         while self.keys[place] >= 0:
             place = place + 1 & (1 << self.bits) - 1
-        self.keys[place], self.next[place] = key, to
+        self.keys[place], self.next[place], self.emit[place] = key, to, emitted
         self.used += 1
         if self.used * 5 > 2 << self.bits:
             self._resize(self.bits + 1)
 
-    def _get(self, keys: np.ndarray) -> np.ndarray:
-        """Next states, -1 where there is no transition yet."""
+    def _get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Next states, -1 where there is no transition yet, and the tokens emitted."""
         place = (keys.astype(np.uint64) * np.uint64(_SPREAD) >> np.uint64(64 - self.bits)).astype(np.int64)
         there = self.keys[place]
-        out = self.next[place]
+        out, emitted = self.next[place], self.emit[place]
         seek = np.flatnonzero((there != keys) & (there >= 0))
         while len(seek):
             place[seek] = place[seek] + 1 & (1 << self.bits) - 1
             there = self.keys[place[seek]]
-            out[seek] = self.next[place[seek]]
+            out[seek], emitted[seek] = self.next[place[seek]], self.emit[place[seek]]
             seek = seek[(there != keys[seek]) & (there >= 0)]
-        return out
+        return out, emitted
 
     def _apart(self, a: int, b: int, limit: int) -> bool:
         """Whether no merge across the border of a|b comes before ``limit``. Merges are
@@ -160,8 +172,8 @@ class MergeTransducer:
             found = self.known[key] = self._apart(last, token, 1 << 60)
         return found
 
-    def compile(self, state: int, symbol: int) -> int:
-        """The state after ``state`` on ``symbol``."""
+    def compile(self, state: int, symbol: int) -> tuple[int, int]:
+        """The state after ``state`` on ``symbol`` and the tokens emitted on the way."""
         here, ends, change, child = [], -1, 0, self.child
         for place in array("q", self.meaning[state]):
             if (to := child.get(place >> 30 << 9 | symbol)) is None:
@@ -177,13 +189,76 @@ class MergeTransducer:
             to = self.number[meaning] = len(self.meaning)
             self.meaning.append(meaning)
             self.last[to] = ends
-        self._put(state << 9 | symbol, to)
-        return to
+        self._put(state << 9 | symbol, to, change)
+        return to, change
+
+    def advance(self, meaning: bytes, symbols: bytes) -> tuple[bytes, int]:
+        """The state (as what it means) after ``symbols`` from one, and the tokens emitted."""
+        state, count, steps = self.state_of(meaning), 0, self.steps
+        for x in symbols:
+            if (step := steps.get(state << 9 | x)) is None:
+                if len(self.meaning) >= self.MOST_STATES:
+                    kept = self.meaning[state]
+                    self.reset()
+                    state, steps = self.state_of(kept), self.steps
+                step = steps[state << 9 | x] = self.compile(state, x)
+            state = step[0]
+            count += step[1]
+        return self.meaning[state], count
+
+    def count_many(self, words: list[bytes]) -> np.ndarray:
+        """Number of tokens of each word: all words take a step together and add up what
+        it emits. Words are taken by length, so memory follows the text."""
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        counts = np.zeros(len(words), dtype=np.int64)
+        order = np.argsort(sizes, kind="stable")
+        ranked = sizes[order]
+        at = int(np.searchsorted(ranked, 1))
+        while at < len(order):
+            till = min(at + 50_000, int(np.searchsorted(ranked, max(16, 2 * ranked[at]), side="right")))
+            chosen = order[at:till]
+            longest = int(sizes[chosen[-1]])
+            if longest > 4096:  # few and long: one at a time
+                for i in chosen:
+                    counts[i] = self.advance(self.meaning[0], words[i])[1]
+            else:
+                block = np.frombuffer(b"".join([words[i].ljust(longest, b"\0") for i in chosen]), dtype=np.uint8).reshape(-1, longest)
+                counts[chosen] = self._count_block(block, sizes[chosen])
+            at = till
+        return counts
+
+    def _count_block(self, block: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        rows = len(block)
+        live, state, count = np.arange(rows), np.zeros(rows, dtype=np.int32), np.zeros(rows, dtype=np.int64)
+        for k in range(block.shape[1]):
+            if sizes[live[0]] <= k:  # rows are sorted by size: the front ones are done
+                gone = int(np.searchsorted(sizes, k, side="right"))
+                if gone == rows:
+                    break
+                live, state = np.arange(gone, rows), state[gone - rows :]
+            symbols = block[live, k]
+            to, emitted = self._get(state.astype(np.int64) << 9 | symbols)
+            if (new := np.flatnonzero(to < 0)).size:
+                pairs, back = np.unique(state[new].astype(np.int64) << 9 | symbols[new], return_inverse=True)
+                if len(self.meaning) + len(pairs) > self.MOST_STATES:  # start anew with the states in use
+                    used, back = np.unique(state, return_inverse=True)
+                    kept = [self.meaning[s] for s in used.tolist()]
+                    self.reset()
+                    state = np.array([self.state_of(m) for m in kept], dtype=np.int32)[back]
+                    to = np.full(len(state), -1, dtype=np.int32)
+                    new = np.arange(len(state))
+                    pairs, back = np.unique(state.astype(np.int64) << 9 | symbols, return_inverse=True)
+                made = np.array([self.compile(int(p >> 9), int(p & 511)) for p in pairs])
+                to[new], emitted[new] = made[back, 0], made[back, 1]
+            state = to
+            count[live] += emitted
+        return count
 
     def encode_many(self, words: list[bytes], mark_end: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Encodings of ``words``, side by side: (tokens, number of tokens of each word).
         All words take a step of the transducer together; encodings are then read back
-        from the ends together. Words are taken by length, so memory follows the text."""
+        from the ends together, so a word may have fewer symbols than states are kept.
+        Words are taken by length, so memory follows the text."""
         sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         counts = np.zeros(len(words), dtype=np.int64)
         parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -224,7 +299,7 @@ class MergeTransducer:
                     break
                 live, state = np.arange(gone, rows), state[gone - rows :]
             symbols = block[live, k]
-            to = self._get(state.astype(np.int64) << 9 | symbols)
+            to, _ = self._get(state.astype(np.int64) << 9 | symbols)
             if (new := to < 0).any():
                 pairs, back = np.unique(state[new].astype(np.int64) << 9 | symbols[new], return_inverse=True)
                 if len(self.meaning) + len(pairs) > self.MOST_STATES:  # too many at once: smaller blocks
@@ -236,7 +311,7 @@ class MergeTransducer:
                     wide = max(a[0].shape[1], b[0].shape[1])
                     pad = lambda t: np.concatenate([np.zeros((len(t), wide - t.shape[1]), dtype=np.int32), t], axis=1)
                     return np.concatenate([pad(a[0]), pad(b[0])]), np.concatenate([a[1], b[1]])
-                made = np.fromiter((self.compile(int(p >> 9), int(p & 511)) for p in pairs), dtype=np.int32, count=len(pairs))
+                made = np.fromiter((self.compile(int(p >> 9), int(p & 511))[0] for p in pairs), dtype=np.int32, count=len(pairs))
                 to[new] = made[back]
             state = to
             ends[live, k] = self.last[state]

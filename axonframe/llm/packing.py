@@ -34,8 +34,9 @@ from .merges import Memo, MergeTransducer
 #: Words of Latin-1 letters, then ASCII signs other than digits and the quote.
 LETTERS_AND_SIGNS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
-#: Bound on the words that a worker keeps with their ids.
-MOST_WORDS = 120_000
+#: Bound on the words that a worker keeps with their ids; words of more letters than the
+#: second are left to the library.
+MOST_WORDS, LONGEST = 120_000, 20_000
 
 
 class WordIds:
@@ -80,7 +81,7 @@ class WordIds:
         out: list[bytes | None] = [None] * len(words)
         bases: dict[bytes, list[tuple[int, bytes]]] = {}
         for i, w in enumerate(words):
-            if (m := LETTERS_AND_SIGNS.fullmatch(w)) is None:
+            if (m := LETTERS_AND_SIGNS.fullmatch(w)) is None or len(w) > LONGEST:
                 out[i] = self._library(w)
             else:
                 bases.setdefault(m[1].lower().encode(), []).append((i, self.mark(m[2])))

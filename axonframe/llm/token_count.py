@@ -1,14 +1,15 @@
 """Token counts by a compiled finite-state tokenizer.
 
-Byte-pair merging is compiled to a deterministic transducer whose transitions carry the
-change in the number of tokens (``merges``).
-
-Over it stands the splitting automaton of the byte-level pattern. A blank that follows a
-non-blank always starts a new piece, whatever came before: it synchronises the automaton.
-A chunk of text is thus a map (head up to its first synchronising blank, count of what
-lies between, tail from its last); such maps compose associatively and are combined by a
-prefix scan in log-many rounds, and a whole text's count is its map applied to the start
-state.
+Byte-pair merging is compiled to a deterministic transducer whose transitions are annotated
+with the tokens that they emit (``merges``), and stands below the splitting automaton of the
+byte-level pattern; a state of the whole is the splitter's with the transducer's. Counts
+only ever add up emissions; those of whole pieces are kept, as they start from one state.
+
+A chunk of text is a map of states to states and counts. A blank that follows a non-blank
+always starts a new piece, whatever came before: from there on the map is the same for all
+states, so a map is what stands before that place, a count, and the state at the end. Maps
+compose associatively and are combined by a prefix scan in log-many rounds; a whole text's
+count is its map at the start state.
 """
 
 from __future__ import annotations
@@ -91,9 +92,15 @@ def pieces_of(part: str) -> list[str]:
     return split(" " + part)
 
 
-#: A place where the automaton is in its start state whatever came before.
+#: A blank that follows a non-blank starts a piece whatever came before it.
 SYNC = re.compile(r"(?<=\S) ")
 BLANKS = re.compile(r"\s ")
+SHORT, LONG, BEGUN = ("'s", "'t", "'m", "'d"), ("'re", "'ve", "'ll"), ("'r", "'v", "'l")
+
+#: What the whole machine remembers: the kind of the piece it is in (None: at a border),
+#: the merge transducer's state there, and characters of which it is not yet decided where
+#: they belong (the last blank of a run, the beginning of a contraction).
+State = tuple[int | None, bytes, str]
 
 
 class Counter:
@@ -105,7 +112,10 @@ class Counter:
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.special_pattern = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.machine = MergeTransducer(spec["model"]["vocab"], spec["model"]["merges"])
-        self.pieces = Memo(lambda new: self.machine.encode_many([p.encode() for p in new])[1].tolist(), MOST_PIECES)
+        self.fresh = self.machine.meaning[0]
+        self.start: State = (None, self.fresh, "")
+        self.synchronised: State = (BLANK, self.fresh, " ")
+        self.pieces = Memo(lambda new: self.machine.count_many([p.encode() for p in new]).tolist(), MOST_PIECES)
         self.segments = Memo(self._segments, MOST_PIECES)
 
     def _segments(self, parts: list[str]) -> list[int]:
@@ -115,11 +125,53 @@ class Counter:
         count = self.pieces.__getitem__
         return [sum(map(count, p)) for p in split_]
 
-    def _segment(self, segment: str) -> int:
-        """Count of what lies between two synchronising places."""
-        pieces = split(segment)
-        self.pieces.fill(set(pieces))
-        return sum(map(self.pieces.__getitem__, pieces))
+    def run(self, state: State, text: str) -> tuple[State, int]:
+        """The machine's state after ``text`` from ``state``, and the tokens emitted."""
+        (k, m, pending), total, i, n = state, 0, 0, len(text)
+        feed = lambda m, s: self.machine.advance(m, s.encode())
+        while i < n:
+            c = text[i]
+            q = kind(c)
+            if k is None:
+                k, m = (BLANK if q == SPACE else q), self.fresh
+                if k in (BLANK, QUOTE):
+                    pending, i = c, i + 1
+            elif k == BLANK and q in (SPACE, BLANK):
+                m, x = feed(m, pending)
+                total, pending, i = total + x, c, i + 1
+            elif k == BLANK:  # a run's last blank goes with what follows if it is a space
+                m, x = feed(self.fresh, pending)
+                k = None if pending != " " else OTHER if q == QUOTE else q
+                total, pending = total + x, ""
+            elif k == QUOTE:
+                if pending + c in SHORT + LONG:
+                    total += feed(self.fresh, pending + c)[1]
+                    k, pending, i = None, "", i + 1
+                elif pending + c in BEGUN:
+                    pending, i = pending + c, i + 1
+                else:  # no contraction: a mark, and maybe a letter after it
+                    m, x = feed(self.fresh, "'")
+                    k, total = OTHER, total + x
+                    if len(pending) > 1:
+                        m, x = feed(self.fresh, pending[1:])
+                        k, total = LETTER, total + x
+                    pending = ""
+            elif q == k or k == OTHER and q == QUOTE:
+                e = i + 1
+                while e < n and ((q := kind(text[e])) == k or k == OTHER and q == QUOTE):
+                    e += 1
+                m, x = feed(m, text[i:e])
+                total, i = total + x, e
+            else:
+                k = None
+        return (k, m if k is not None else self.fresh, pending), total
+
+    def finish(self, state: State) -> int:
+        """Tokens that are emitted where a text ends, or a synchronising blank follows."""
+        k, m, pending = state
+        if k == BLANK:
+            return self.machine.advance(m, pending.encode())[1]
+        return sum(self.machine.advance(self.fresh, p.encode())[1] for p in (pending[:1], pending[1:]) if p) if k == QUOTE else 0
 
     def chunk_parts(self, chunk: str) -> list[str]:
         """The chunk at its synchronising places: the head, then what each place's blank
@@ -130,55 +182,47 @@ class Counter:
             parts[:2] = [" " + parts[1]]
         return parts
 
-    def chunk_map(self, parts: list[str]) -> tuple[str, int, str | None]:
-        """(head, count between, tail); tail None: no synchronising place, head is all."""
+    def chunk_map(self, parts: list[str]) -> tuple[str, int, State | None]:
+        """A chunk's map of states to states and counts, as (head, count, exit): the state
+        it is entered in matters up to its first synchronising place, so for the head only;
+        from there on it counts ``count`` and ends in ``exit``. Without such a place (exit
+        None) the head is all."""
         if len(parts) == 1:
             return parts[0], 0, None
-        return parts[0], sum(map(self.segments.__getitem__, parts[1:-1])), " " + parts[-1]
+        end, n = self.run(self.synchronised, parts[-1])
+        return parts[0], sum(map(self.segments.__getitem__, parts[1:-1])) + n, end
 
-    def join(self, a: tuple[str, int, str | None], b: tuple[str, int, str | None]) -> tuple[str, int, str | None]:
-        """Composition of the maps of two neighbouring chunks."""
+    def compose(self, a: tuple[str, int, State | None], b: tuple[str, int, State | None]) -> tuple[str, int, State | None]:
+        """The map of two neighbouring chunks. A place where they meet may synchronise, but
+        need not be told: the state that the first ends in is enough."""
         if a[2] is None:
-            seam = self.cut_map(a[0] + b[0])
-        else:
-            seam = self.cut_map(a[2] + b[0])
-        if a[2] is None:  # still all head, unless the seam made a synchronising place
-            if seam[2] is None:
-                return seam[0], b[1], b[2]
-            if b[2] is None:
-                return seam
-            return seam[0], seam[1] + self._segment(seam[2]) + b[1], b[2]
-        # a's tail starts at a synchronising place, so the seam's head is closed on the left.
-        if seam[2] is None:
-            if b[2] is None:
-                return a[0], a[1], seam[0]
-            return a[0], a[1] + self._segment(seam[0]) + b[1], b[2]
-        inner = a[1] + self._segment(seam[0]) + seam[1]
-        if b[2] is None:
-            return a[0], inner, seam[2]
-        return a[0], inner + self._segment(seam[2]) + b[1], b[2]
-
-    def cut_map(self, seam: str) -> tuple[str, int, str | None]:
-        """A seam's map; only its inner places count as synchronising."""
-        parts = SYNC.split(seam)
-        if len(parts) == 1:
-            return seam, 0, None
-        return parts[0], sum(self._segment(" " + p) for p in parts[1:-1]), " " + parts[-1]
+            return a[0] + b[0], b[1], b[2]
+        state, n = self.run(a[2], b[0])
+        return (a[0], a[1] + n, state) if b[2] is None else (a[0], a[1] + n + self.finish(state) + b[1], b[2])
+
+    def total(self, whole: tuple[str, int, State | None]) -> int:
+        """A text's tokens: its map at the start state."""
+        state, n = self.run(self.start, whole[0])
+        return n + self.finish(state) + (whole[1] + self.finish(whole[2]) if whole[2] is not None else 0)
 
     def plain(self, texts: list[str]) -> list[int]:
         """Counts of texts without special strings."""
-        chunked = [[self.chunk_parts(t[i : i + CHUNK]) for i in range(0, len(t), CHUNK)] for t in texts]
+        chunked = [[self.chunk_parts(t[i : i + CHUNK]) for i in range(0, max(1, len(t)), CHUNK)] for t in texts]
         self.segments.fill({p for chunks in chunked for parts in chunks for p in parts[1:-1]})
-        scanned = []
-        for chunks in chunked:
+        # Texts of one chunk: both ends are whole pieces, whose counts are kept.
+        ends = {t: (split(c[0][0]) if c[0][0] else [], pieces_of(c[0][-1]) if c[0][-1] else [" "]) for t, c in enumerate(chunked) if len(c) == 1 and len(c[0]) > 1}
+        ends |= {t: (split(c[0][0]) if c[0][0] else [], []) for t, c in enumerate(chunked) if len(c) == 1 and len(c[0]) == 1}
+        self.pieces.fill({p for both in ends.values() for p in chain(*both)})
+        count, out = self.pieces.__getitem__, []
+        for t, chunks in enumerate(chunked):
+            if (end := ends.get(t)) is not None:
+                out.append(sum(map(count, chain(*end))) + sum(map(self.segments.__getitem__, chunks[0][1:-1])))
+                continue
             maps = [self.chunk_map(parts) for parts in chunks]
             while len(maps) > 1:  # the scan: neighbours compose, in log-many rounds
-                maps = [self.join(maps[i], maps[i + 1]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-            scanned.append(maps[0] if maps else ("", 0, None))
-        ends = [(split(h), n, split(t) if t else []) for h, n, t in scanned]
-        self.pieces.fill({p for h, _, t in ends for p in (*h, *t)})
-        count = self.pieces.__getitem__
-        return [n + sum(map(count, h)) + sum(map(count, t)) for h, n, t in ends]
+                maps = [self.compose(maps[i], maps[i + 1]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+            out.append(self.total(maps[0]))
+        return out
 
     def __call__(self, texts: list[str]) -> list[int]:
         if self.special_pattern is None:

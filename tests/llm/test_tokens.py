@@ -125,3 +125,39 @@ def test_rests_that_fit_no_window_do_not_pile_up(sizes):
             placed, sequences, held = placed + sum(p[2] for p in pieces), sequences + n, [p[2] for p in over]
             assert sum(held) <= block // 2
     assert longest <= block + 100 * max(sizes) + block // 2 and placed + sum(held) == sum(sizes) and placed == sequences * capacity
+
+
+def test_very_long_words_and_runs(monkeypatch):
+    from axonframe.llm.merges import MergeTransducer
+
+    path = vocabulary("byte_bpe_50k.json")
+    library, count = Tokenizer.from_file(path), token_count.counter_of(path)
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("etaoinshr") for _ in range(1_000_000)), "z" * 600_000, "ab" * 200_000 + " end", " " * 70_000 + "x", "\n" * 65_536 + "'re" * 50_000, "é" * 100_000]
+    assert count(texts) == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    monkeypatch.setattr(MergeTransducer, "MOST_STATES", 5000)
+    small = token_count.Counter(path)
+    texts = ["".join(rng.choice("etaoinshr") for _ in range(n)) for n in (40_000, 3000, 3000, 2900, 17)]
+    assert small(texts) == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
+def test_chunk_maps_compose_in_any_order():
+    path = vocabulary("byte_bpe_50k.json")
+    library, count = Tokenizer.from_file(path), token_count.counter_of(path)
+    rng = random.Random(4)
+    for text in noise(300, 60, "'ll", 8):
+        cuts = sorted(rng.randint(0, len(text)) for _ in range(rng.randint(1, 6)))
+        chunks = [count.chunk_parts(text[a:b]) for a, b in zip([0, *cuts], [*cuts, len(text)])]
+        count.segments.fill({p for parts in chunks for p in parts[1:-1]})
+        maps = list(map(count.chunk_map, chunks))
+        while len(maps) > 1:
+            k = rng.randrange(len(maps) - 1)
+            maps[k : k + 2] = [count.compose(maps[k], maps[k + 1])]
+        assert count.total(maps[0]) == len(library.encode(text, add_special_tokens=False).ids)
+
+
+def test_words_too_long_to_compile_have_the_librarys_ids(monkeypatch):
+    monkeypatch.setattr(packing, "LONGEST", 50)
+    path = vocabulary("word_bpe_49k.json")
+    text = "short " + "abcde" * 30 + "! " + "é" * 70
+    assert np.frombuffer(packing.WordIds(path)([text])[0], "<u2").tolist() == plain(path, text)
