@@ -32,11 +32,13 @@ from .common import released, text_of
 from .merges import Memo, MergeTransducer
 
 #: Words of Latin-1 letters, then ASCII signs other than digits and the quote.
-LETTERS_AND_SIGNS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+LETTERS_AND_SIGNS = r"([A-Za-zÀ-ÖØ-öø-ÿ]{1,%d})([!-&(-/:-@\[-`{-~]*)"
 
 #: Bound on the words that a worker keeps with their ids; words of more letters than the
 #: second are left to the library.
 MOST_WORDS, LONGEST = 120_000, 20_000
+#: A word on each line: its letters and signs, or all of it.
+LINES = re.compile(f"(?m)^(?:{LETTERS_AND_SIGNS % LONGEST}|(.+))$")
 
 
 class WordIds:
@@ -60,7 +62,7 @@ class WordIds:
             spec = json.load(f)
         model, self.special = spec["model"], [t["content"] for t in spec["added_tokens"]]
         self.machine = MergeTransducer(model["vocab"], model["merges"], model["end_of_word_suffix"] or "")
-        if any(LETTERS_AND_SIGNS.fullmatch(t) for t in self.special):
+        if any(LINES.fullmatch(t)[1] for t in self.special):
             raise ValueError("a special string looks like a word with its closing signs")
         self.mark_end = bool(model["end_of_word_suffix"])
         self.memo = Memo(self._words, MOST_WORDS)
@@ -69,29 +71,23 @@ class WordIds:
     def _library(self, text: str) -> bytes:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
 
-    def mark(self, signs: str) -> bytes:
-        """Ids of ASCII signs without a quote, which no letters before them can change."""
-        if (ids := self.marks.get(signs)) is None:
-            ids = self._library(signs)
-            if len(self.marks) < MOST_WORDS:
-                self.marks[signs] = ids
-        return ids
-
     def _words(self, words: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(words)
-        bases: dict[bytes, list[tuple[int, bytes]]] = {}
-        for i, w in enumerate(words):
-            if (m := LETTERS_AND_SIGNS.fullmatch(w)) is None or len(w) > LONGEST:
+        # All words at once, one a line: letters in lower case, signs, or what is neither.
+        letters, signs, others = zip(*LINES.findall("\n".join(words))) if words else ((), (), ())
+        bases = "\n".join(letters).lower().encode().split(b"\n") if words else []
+        number = dict(zip(unique := dict.fromkeys(bases), range(len(bases))))
+        tokens, counts = self.machine.encode_many(list(unique), mark_end=self.mark_end)
+        ids, ends = tokens.astype("<u2").tobytes(), (2 * np.cumsum(counts)).tolist()
+        own = [ids[a:b] for a, b in zip([0, *ends], ends)]
+        # No letters before them can change the ids of ASCII signs without a quote.
+        for s in set(signs).difference(self.marks):
+            self.marks[s] = self._library(s)
+        out = [own[number[b]] + self.marks[s] for b, s in zip(bases, signs)]
+        for i, w in enumerate(others):
+            if w:
                 out[i] = self._library(w)
-            else:
-                bases.setdefault(m[1].lower().encode(), []).append((i, self.mark(m[2])))
-        tokens, counts = self.machine.encode_many(list(bases), mark_end=self.mark_end)
-        ids, at = tokens.astype("<u2").tobytes(), 0
-        for uses, n in zip(bases.values(), counts.tolist()):
-            own = ids[at : at + 2 * n]
-            at += 2 * n
-            for i, end in uses:
-                out[i] = own + end
+        if len(self.marks) > MOST_WORDS:
+            self.marks = {"": b""}
         return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
