@@ -39,7 +39,7 @@ LINE, SENTENCE = 6, 4
 #: Words that end a sentence end with one of these, closing marks aside.
 STOPS, CLOSERS = tuple(".!?…。！？।؟"), "\"'”’»)]}"
 #: Characters of text that are hashed at a time, and words that a worker keeps with their hash.
-CHUNK, MOST_WORDS = 1 << 20, 200_000
+CHUNK, MOST_WORDS = 1 << 20, 120_000
 
 #: Scripts written without blanks: each of their characters is a word.
 _UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
