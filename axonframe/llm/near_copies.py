@@ -180,7 +180,7 @@ def _promising(at_least: float):
             keep = np.zeros(len(group["cell"]), dtype=bool)
             for i, j in _pairs_within(group, at_least):
                 keep[i] = keep[j] = True
-            yield pa.RecordBatch.from_arrays([pa.array(v[keep]) for v in group.values()], list(group))
+            yield pa.RecordBatch.from_arrays([pa.array(v[keep], pa.binary() if n == "sketch" else None) for n, v in group.items()], list(group))
 
     return run
 

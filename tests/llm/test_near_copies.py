@@ -47,3 +47,14 @@ def test_shingle_sets_are_the_definition():
     texts = ["a b c d e f", "", "A b", "a b", "a b c d e f a b c d e f", "ñ " * 12]
     who, _ = near_copies.shingle_sets(list(map(near_copies.plain, texts)))
     assert [int((who == k).sum()) for k in range(len(texts))] == [len(shingles(t)) for t in texts]
+
+
+def test_buckets_of_texts_that_are_not_similar(spark):
+    """Texts that share half of their shingles meet in buckets, and most have no partner."""
+    rng = random.Random(3)
+    common = [f"c{k}" for k in range(200)]
+    texts = [" ".join(common + [f"w{i}x{k}" for k in range(rng.choice([20, 60, 90, 120]))]) for i in range(60)]
+    texts += [" ".join(f"u{i}x{k}" for k in range(80)) for i in range(40)]
+    want = sorted(set(classes(texts, linked)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    assert len(want) < len(texts) and sorted(r.doc_id for r in near_copies.keep_one(df).collect()) == want
