@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,11 +61,24 @@ def text_of(row_text) -> str:
     return row_text if row_text is not None else ""
 
 
+#: What workers keep from one partition to the next, by module: how to let go of it.
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def keeps(module: str, clear: Callable[[], None]) -> None:
+    """Says that ``module`` keeps something in its workers, and how to let go of it."""
+    _KEPT[module] = clear
+
+
 def released(run):
     """``run`` (a function over Arrow batches) that gives its memory back to the system when
-    a partition ends: workers live on, and share their executor's memory with the next."""
+    a partition ends: workers live on, and share their executor's memory with the next.
+    What other operators keep in the worker goes when it begins."""
 
     def wrapped(batches):
+        for module, clear in _KEPT.items():
+            if module != run.__module__:
+                clear()
         try:
             yield from run(batches)
         finally:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import released, text_of
+from .common import keeps, released, text_of
 from .merges import Memo, MergeTransducer
 
 #: Words of Latin-1 letters, then ASCII signs other than digits and the quote.
@@ -98,6 +98,7 @@ class WordIds:
 
 
 _WORDS: dict[str, WordIds] = {}
+keeps(__name__, _WORDS.clear)
 
 
 def words_of(path: str) -> WordIds:

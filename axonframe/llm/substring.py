@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import cut, fresh, released, text_of
+from .common import cut, fresh, keeps, released, text_of
 from .licenses import _POWERS, _mixed
 
 #: Passages of fewer words are never removed; a paragraph has at least so many words.
@@ -63,6 +63,7 @@ class Hashes(dict):
 
 
 _HASHES = Hashes()
+keeps(__name__, _HASHES.clear)
 
 
 class Words:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import released, text_of
+from .common import keeps, released, text_of
 from .merges import Memo, MergeTransducer
 
 #: Bound on the pieces that a worker keeps with their counts, and the chunk's characters.
@@ -233,6 +233,7 @@ class Counter:
 
 
 _COUNTERS: dict[str, Counter] = {}
+keeps(__name__, _COUNTERS.clear)
 
 
 def counter_of(path: str) -> Counter:
