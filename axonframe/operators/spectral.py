@@ -73,15 +73,21 @@ def power(tf: DataFrame) -> DataFrame:
     return tf.withColumn("value", F.col("re") * F.col("re") + F.col("im") * F.col("im"))
 
 
-def periodogram(signals: DataFrame, keys: list[str], fs: float) -> DataFrame:
-    """Power spectral density of demeaned, Hann-tapered signals: (keys, k, freq, psd)."""
+def sine_tapers(n: int, many: int) -> np.ndarray:
+    """The first orthonormal sine tapers of n samples."""
+    return np.sqrt(2 / (n + 1)) * np.sin(np.pi * np.outer(np.arange(1, many + 1), np.arange(1, n + 1)) / (n + 1))
+
+
+def periodogram(signals: DataFrame, keys: list[str], fs: float, tapers: int | None = None) -> DataFrame:
+    """Power spectral density of demeaned signals: (keys, k, freq, psd); Hann-tapered, or
+    the mean over so many sine ``tapers``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _matrix(batch.column("signal"))
             n = x.shape[1]
-            taper = np.hanning(n + 2)[1:-1]
-            p = np.abs(np.fft.rfft((x - x.mean(axis=1, keepdims=True)) * taper)) ** 2 / (fs * (taper**2).sum())
+            shapes = sine_tapers(n, tapers) if tapers else np.hanning(n + 2)[None, 1:-1]
+            p = np.mean([np.abs(np.fft.rfft((x - x.mean(axis=1, keepdims=True)) * s)) ** 2 / (fs * (s**2).sum()) for s in shapes], axis=0)
             p[:, 1 : (n + 1) // 2] *= 2
             m = p.shape[1]
             take = pa.array(np.repeat(np.arange(len(x)), m))
@@ -113,18 +119,22 @@ def phase_locking(tf: DataFrame, frame: list[str], node: str) -> DataFrame:
     return p.groupBy(*frame, "src", "dst").agg(F.sqrt(F.pow(F.avg(F.cos("d")), 2) + F.pow(F.avg(F.sin("d")), 2)).alias("plv"))
 
 
-def phase_randomised(signals: DataFrame, keys: list[str], seed: int) -> DataFrame:
-    """Surrogates with each signal's amplitudes and one set of random phases for all, so
-    that spectra and cross-spectra stay."""
+def phase_randomised(signals: DataFrame, keys: list[str], seed: int, trial: list[str] | None = None) -> DataFrame:
+    """Surrogates with each signal's amplitudes and random phases, one set for all signals
+    of a ``trial`` (columns of ``keys``; the first if none are named), so that spectra and
+    the cross-spectra within a trial stay."""
+    trial = trial or keys[:1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _matrix(batch.column("signal"))
             n = x.shape[1]
-            turn = np.exp(2j * np.pi * np.random.default_rng([seed, n]).random(n // 2 + 1))
-            turn[0] = 1
+            names = ["\x1f".join(map(str, row)) for row in zip(*(batch.column(k).to_pylist() for k in trial))]
+            drawn = {name: np.random.default_rng([seed, n, *name.encode()]).random(n // 2 + 1) for name in set(names)}
+            turn = np.exp(2j * np.pi * np.array([drawn[name] for name in names]).reshape(len(names), n // 2 + 1))
+            turn[:, 0] = 1
             if n % 2 == 0:
-                turn[-1] = 1
+                turn[:, -1] = 1
             y = np.fft.irfft(np.fft.rfft(x) * turn, n)
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], pa.array(list(y), pa.list_(pa.float64()))], [*keys, "signal"])
 

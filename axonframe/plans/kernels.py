@@ -41,7 +41,7 @@ def _(t: Tables):
 
 @query("multitaper_psd", "K23", "trial:long node:long k:long psd:double")
 def _(t: Tables):
-    return P.periodogram(_signals(t), ["trial", "node"], FS)
+    return P.periodogram(_signals(t), ["trial", "node"], FS, tapers=4)
 
 
 @query("spectral_peaks", "K24 K27", "trial:long k:long n:long")
@@ -50,12 +50,12 @@ def _(t: Tables):
     return W.local_peaks(psd, ["trial", "node"], "k").groupBy("trial", "k").agg(F.count("*").alias("n"))
 
 
-@query("coherence", "K6 K32 K38", "trial:long freq:double src:long dst:long coherence:double")
+@query("coherence", "K6 K32", "trial:long freq:double src:long dst:long coherence:double")
 def _(t: Tables):
     return P.coherence(P.time_frequency(_signals(t), ["trial", "node"], FS, FREQS), ["trial", "freq"], "node")
 
 
-@query("plv", "K7 W15 C16 K26", "trial:long freq:double src:long dst:long plv:double")
+@query("plv", "K7 W15 C16", "trial:long freq:double src:long dst:long plv:double")
 def _(t: Tables):
     return P.phase_locking(P.time_frequency(_signals(t), ["trial", "node"], FS, FREQS), ["trial", "freq"], "node")
 

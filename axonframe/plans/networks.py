@@ -62,7 +62,7 @@ def _(t: Tables):
     return block.groupBy("freq", (F.col("a") == F.col("b")).cast("long").alias("same")).agg(F.avg("m").alias("mean"))
 
 
-@query("drop_subset_edges", "F16 F17 F18 F19 F20 F21", "freq:string n:long total:double",
+@query("drop_subset_edges", "F17", "freq:string n:long total:double",
        "SELECT freq, count(*) AS n, sum(weight) AS total FROM edge WHERE src NOT IN ('Brand#11', 'Brand#55') AND dst NOT IN ('Brand#11', 'Brand#55') GROUP BY 1")
 def _(t: Tables):
     drop = ["Brand#11", "Brand#55"]
@@ -466,7 +466,7 @@ def _(t: Tables):
     return T.ks_statistic(_groups(t), ["node", "freq"], "g")
 
 
-@query("significant_share", "I15 I19 I20 I21 C6", "freq:string n:long share:double mark:string",
+@query("significant_share", "I15 C6", "freq:string n:long share:double mark:string",
        f"WITH tw AS ({_TWO}), {_KS} SELECT freq, count(*) AS n, avg(CAST(p <= 0.05 AS DOUBLE)) AS share, CASE WHEN min(p) <= 1e-4 THEN '****' WHEN min(p) <= 1e-3 THEN '***' WHEN min(p) <= 0.01 THEN '**' WHEN min(p) <= 0.05 THEN '*' ELSE 'ns' END AS mark FROM kp GROUP BY 1 HAVING count(*) >= 10")
 def _(t: Tables):
     p = T.ks_statistic(_groups(t), ["node", "freq"], "g").groupBy("freq").agg(F.count("*").alias("n"), F.avg((F.col("p") <= 0.05).cast("double")).alias("share"), F.min("p").alias("p"))
@@ -504,7 +504,7 @@ def _(t: Tables):
     return a.join(b, "node").select("node", (F.col("a") - F.col("b")).alias("diff"))
 
 
-@query("rate_by_stimulus", "B25 B26", "node:long stage:string stim:long rate:double",
+@query("rate_by_stimulus", "B25", "node:long stage:string stim:long rate:double",
        "SELECT a.node, s.stage, stim, avg(CAST(active AS DOUBLE)) AS rate FROM act a JOIN staged s USING (node, freq, trial, t_idx) JOIN trials USING (trial) GROUP BY 1, 2, 3")
 def _(t: Tables):
     return t.act.join(F.broadcast(t.trials), "trial").groupBy("node", stage_of().alias("stage"), "stim").agg(F.avg(F.col("active").cast("double")).alias("rate"))

@@ -26,9 +26,22 @@ def read_signal(spark: SparkSession, path: str, freqs: list | None = None, times
 
 
 def read_sessions(spark: SparkSession, paths: list[str], schema: str | None = None) -> DataFrame:
-    """Many sessions in one scan; missing files are skipped."""
+    """Many sessions in one scan; missing files are skipped, also while the scan runs. If
+    none is there: an empty table of ``schema``, or an error without one."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def there(path: str) -> bool:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        found = p.getFileSystem(conf).globStatus(p)
+        return found is not None and len(found) > 0
+
+    present = [p for p in paths if there(p)]
+    if not present:
+        if schema is None:
+            raise FileNotFoundError("none of the paths is there, and no schema is given")
+        return spark.createDataFrame([], schema)
     reader = spark.read.option("ignoreMissingFiles", "true")
-    return (reader.schema(schema) if schema else reader).parquet(*paths)
+    return (reader.schema(schema) if schema else reader).parquet(*present)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
