@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import sdiv
+from .aggregate import safe_corr
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -105,12 +106,23 @@ def _tf_pairs(tf: DataFrame, frame: list[str], node: str) -> DataFrame:
     return a.join(b, [*frame, "t_idx"]).filter("src < dst")
 
 
-def coherence(tf: DataFrame, frame: list[str], node: str) -> DataFrame:
-    """|S(xy)|^2 / (S(xx) S(yy)), S averaged over the frame's samples."""
+def coherence(tf: DataFrame, frame: list[str], node: str, by: list[str] | None = None) -> DataFrame:
+    """|S(xy)|^2 / (S(xx) S(yy)), S averaged over the frame's samples, or over all that
+    agree in ``by`` (such as frequency and time: the trials)."""
     p = _tf_pairs(tf, frame, node)
     re, im = F.avg(F.col("ar") * F.col("br") + F.col("ai") * F.col("bi")), F.avg(F.col("ai") * F.col("br") - F.col("ar") * F.col("bi"))
     sx, sy = F.avg(F.col("ar") * F.col("ar") + F.col("ai") * F.col("ai")), F.avg(F.col("br") * F.col("br") + F.col("bi") * F.col("bi"))
-    return p.groupBy(*frame, "src", "dst").agg(sdiv(re * re + im * im, sx * sy).alias("coherence"))
+    return p.groupBy(*(by or frame), "src", "dst").agg(sdiv(re * re + im * im, sx * sy).alias("coherence"))
+
+
+def cross_frequency(tf: DataFrame, frame: list[str], freq: str = "freq") -> DataFrame:
+    """(frame, fa, fb, r, plv): correlation of amplitudes and locking of phases of a
+    signal's own frequencies fa < fb over its samples."""
+    a = tf.select(*frame, "t_idx", F.col(freq).alias("fa"), F.hypot("re", "im").alias("x"), F.atan2("im", "re").alias("p"))
+    b = tf.select(*frame, "t_idx", F.col(freq).alias("fb"), F.hypot("re", "im").alias("y"), F.atan2("im", "re").alias("q"))
+    both = a.join(b, [*frame, "t_idx"]).filter("fa < fb").withColumn("d", F.col("p") - F.col("q"))
+    locked = F.sqrt(F.pow(F.avg(F.cos("d")), 2) + F.pow(F.avg(F.sin("d")), 2))
+    return both.groupBy(*frame, "fa", "fb").agg(safe_corr("x", "y").alias("r"), locked.alias("plv"))
 
 
 def phase_locking(tf: DataFrame, frame: list[str], node: str) -> DataFrame:

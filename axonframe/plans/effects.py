@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import resample as R
 from ..operators import stats as T
 from ..sources.lifts import Tables
 from .networks import _KS, _TWO, _groups
@@ -96,16 +97,13 @@ def _(t: Tables):
     return p.groupBy("node", "freq").agg((100 * F.avg((F.col("p") < 0.01).cast("double"))).alias("psi"))
 
 
-@query("rate_modulation_index", "B26", "node:long freq:string rmi:double",
-       """WITH r AS (SELECT a.node, a.freq, a.t_idx, t.stim, avg(a.active) AS p FROM act a JOIN trials t USING (trial) GROUP BY 1, 2, 3, 4),
-       b AS (SELECT node, freq, t_idx, quantile_cont(p, 0.05) AS lo, quantile_cont(p, 0.95) AS hi FROM (SELECT node, freq, t_idx, trial % 7 AS part, avg(active) AS p FROM act GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3)
-       SELECT node, freq, avg(CAST(p > hi OR p < lo AS DOUBLE)) AS rmi FROM r JOIN b USING (node, freq, t_idx) GROUP BY 1, 2""")
+@query("rate_modulation_index", "B26", "node:long freq:string rmi:double")
 def _(t: Tables):
-    """Share of times and stimuli at which the rate lies outside the band that resamples of
-    all trials span; here the resamples are seven parts of the trials, which SQL has too."""
+    """Share of times and stimuli at which the median of a stimulus' bootstrapped rates lies
+    outside the 5 to 95 % band of those of all trials."""
     by = ["node", "freq", "t_idx"]
-    rate = t.act.join(F.broadcast(t.trials.select("trial", "stim")), "trial").groupBy(*by, "stim").agg(F.avg("active").alias("p"))
-    parts = t.act.groupBy(*by, (F.col("trial") % 7).alias("part")).agg(F.avg("active").alias("value"))
-    band = parts.groupBy(*by).agg(F.percentile("value", F.lit(0.05)).alias("lo"), F.percentile("value", F.lit(0.95)).alias("hi"))
-    out = (F.col("p") > F.col("hi")) | (F.col("p") < F.col("lo"))
+    band = R.percentile_interval(R.bootstrap_means(t.act, by, "trial", 100, 21, value="active"), by, 0.9).drop("mid")
+    of = t.act.join(F.broadcast(t.trials.select("trial", "stim")), "trial")
+    rate = R.percentile_interval(R.bootstrap_means(of, [*by, "stim"], "trial", 100, 22, value="active"), [*by, "stim"]).select(*by, "stim", "mid")
+    out = (F.col("mid") > F.col("high")) | (F.col("mid") < F.col("low"))
     return rate.join(band, by).groupBy("node", "freq").agg(F.avg(out.cast("double")).alias("rmi"))

@@ -55,6 +55,28 @@ def _(t: Tables):
     return P.coherence(P.time_frequency(_signals(t), ["trial", "node"], FS, FREQS), ["trial", "freq"], "node")
 
 
+@query("trial_coherence", "K38", "freq:double t_idx:long src:long dst:long coherence:double")
+def _(t: Tables):
+    return P.coherence(P.time_frequency(_signals(t), ["trial", "node"], FS, FREQS), ["trial", "freq"], "node", by=["freq", "t_idx"])
+
+
+@query("cross_frequency", "K26", "trial:long node:long fa:double fb:double r:double plv:double")
+def _(t: Tables):
+    return P.cross_frequency(P.time_frequency(_signals(t), ["trial", "node"], FS, FREQS), ["trial", "node"])
+
+
+@query("coherence_surrogates", "R10", "freq:double src:long dst:long threshold:double")
+def _(t: Tables):
+    """The 95th percentile, over seeds and trials, of the coherence of signals whose phases
+    are drawn for each one alone."""
+    some = None
+    for seed in range(5):
+        drawn = P.phase_randomised(_signals(t), ["trial", "node"], seed, trial=["trial", "node"])
+        c = P.coherence(P.time_frequency(drawn, ["trial", "node"], FS, FREQS), ["trial", "freq"], "node")
+        some = c if some is None else some.unionByName(c)
+    return some.groupBy("freq", "src", "dst").agg(F.percentile("coherence", F.lit(0.95)).alias("threshold"))
+
+
 @query("plv", "K7 W15 C16", "trial:long freq:double src:long dst:long plv:double")
 def _(t: Tables):
     return P.phase_locking(P.time_frequency(_signals(t), ["trial", "node"], FS, FREQS), ["trial", "freq"], "node")
@@ -65,7 +87,7 @@ def _(t: Tables):
     return N.granger(_signals(t), "trial", 2)
 
 
-@query("phase_randomised_power", "R3 R10", "trial:long node:long k:long psd:double")
+@query("phase_randomised_power", "R3", "trial:long node:long k:long psd:double")
 def _(t: Tables):
     return P.periodogram(P.phase_randomised(_signals(t), ["trial", "node"], 7), ["trial", "node"], FS)
 

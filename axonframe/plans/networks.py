@@ -81,12 +81,12 @@ def _(t: Tables):
     return P.significance_floor(t.edge.withColumn("value", F.col("weight")), thr, ["freq"]).groupBy("freq", "src", "dst").agg(F.count("*").alias("n"), F.sum("value").alias("excess"))
 
 
-_META = f"""d AS (SELECT a.freq, a.trial, a.t_idx, a.node || '~' || b.node AS e, a.value * b.value AS v FROM sig a JOIN sig b ON a.freq = b.freq AND a.trial = b.trial AND a.t_idx = b.t_idx AND a.node < b.node AND b.node < 5 WHERE a.node < 5),
+_META = f"""d AS (SELECT a.freq, a.trial, a.t_idx, a.node || '~' || b.node AS e, a.value * b.value AS v FROM sig a JOIN sig b ON a.freq = b.freq AND a.trial = b.trial AND a.t_idx = b.t_idx AND a.node < b.node),
        mc AS (SELECT a.freq, a.e AS edge_a, b.e AS edge_b, {corr_sql('a.v', 'b.v')} AS mc FROM d a JOIN d b ON a.freq = b.freq AND a.trial = b.trial AND a.t_idx = b.t_idx AND a.e <= b.e GROUP BY 1, 2, 3)"""
 
 
 def _meta(t: Tables):
-    return P.meta_connectivity(P.products(t.sig.filter("node < 5"), FRAME), FRAME, ["freq"])
+    return P.meta_connectivity(P.products(t.sig, FRAME), FRAME, ["freq"])
 
 
 @query("meta_connectivity", "K14 K15 J13 D13", "freq:string edge_a:string edge_b:string mc:double", f"WITH {_META} SELECT * FROM mc")
@@ -101,29 +101,24 @@ def _(t: Tables):
 
 
 @query("trimer_strength", "K17 K18 K19", "freq:string node:long strength:double",
-       f"""WITH {_META}, n AS (SELECT CAST(unnest(range(5)) AS VARCHAR) AS node) SELECT freq, CAST(node AS BIGINT) AS node, sum(mc) AS strength FROM mc JOIN n ON node IN (split_part(edge_a, '~', 1), split_part(edge_a, '~', 2)) AND node IN (split_part(edge_b, '~', 1), split_part(edge_b, '~', 2)) WHERE edge_a < edge_b GROUP BY 1, 2""")
+       f"""WITH {_META}, n AS (SELECT DISTINCT CAST(node AS VARCHAR) AS node FROM sig) SELECT freq, CAST(node AS BIGINT) AS node, sum(mc) AS strength FROM mc JOIN n ON node IN (split_part(edge_a, '~', 1), split_part(edge_a, '~', 2)) AND node IN (split_part(edge_b, '~', 1), split_part(edge_b, '~', 2)) WHERE edge_a < edge_b GROUP BY 1, 2""")
 def _(t: Tables):
     return P.trimer_strength(_meta(t), ["freq"])
 
 
-def _whole_meta(t: Tables):
-    """Over all nodes; the SQL above has the first five only."""
-    return P.meta_connectivity(P.products(t.sig, FRAME), FRAME, ["freq"])
-
-
 @query("meta_connectivity_all_nodes", "K14 K15 J13 D13", "freq:string edge_a:string edge_b:string mc:double")
 def _(t: Tables):
-    return _whole_meta(t)
+    return _meta(t)
 
 
 @query("entanglement_all_nodes", "K16", "freq:string edge:string entanglement:double")
 def _(t: Tables):
-    return P.entanglement(_whole_meta(t), ["freq"])
+    return P.entanglement(_meta(t), ["freq"])
 
 
 @query("trimer_strength_all_nodes", "K17 K18 K19", "freq:string node:long strength:double")
 def _(t: Tables):
-    return P.trimer_strength(_whole_meta(t), ["freq"])
+    return P.trimer_strength(_meta(t), ["freq"])
 
 
 _DIFF = "d AS (SELECT * FROM (SELECT node, freq, trial, t_idx, value - lag(value) OVER (PARTITION BY node, freq, trial ORDER BY t_idx) AS diff FROM sig) WHERE diff IS NOT NULL)"
@@ -362,17 +357,17 @@ def _(t: Tables):
     return G.allegiance(m, [*FRAME, "win"], ["freq", "win"])
 
 
-_HOPS = """WITH RECURSIVE s AS (SELECT trial, t_idx, src, dst FROM sides WHERE freq = 'N' AND trial = 2), v AS (SELECT DISTINCT trial, t_idx, src AS node FROM s),
-       hop AS (SELECT trial, t_idx, node AS a, node AS b, 0 AS d FROM v UNION SELECT h.trial, h.t_idx, h.a, s.dst, h.d + 1 FROM hop h JOIN s ON s.trial = h.trial AND s.t_idx = h.t_idx AND s.src = h.b WHERE h.d < 24),
-       near AS (SELECT trial, t_idx, a, b, min(d) AS d FROM hop GROUP BY 1, 2, 3, 4)"""
+_HOPS = """WITH RECURSIVE s AS (SELECT freq, trial, t_idx, src, dst FROM sides), v AS (SELECT DISTINCT freq, trial, t_idx, src AS node FROM s),
+       hop AS (SELECT freq, trial, t_idx, node AS a, node AS b, 0 AS d FROM v UNION SELECT h.freq, h.trial, h.t_idx, h.a, s.dst, h.d + 1 FROM hop h JOIN s ON s.freq = h.freq AND s.trial = h.trial AND s.t_idx = h.t_idx AND s.src = h.b WHERE h.d < 24),
+       near AS (SELECT freq, trial, t_idx, a, b, min(d) AS d FROM hop GROUP BY 1, 2, 3, 4, 5)"""
 
 
-@query("shortest_path_sums", "G4", "trial:long t_idx:long node:string closeness:double", f"{_HOPS} SELECT trial, t_idx, a AS node, sum(d) AS closeness FROM near GROUP BY 1, 2, 3")
+@query("shortest_path_sums", "G4", f"{GF} node:string closeness:double", f"{_HOPS} SELECT freq, trial, t_idx, a AS node, sum(d) AS closeness FROM near GROUP BY 1, 2, 3, 4")
 def _(t: Tables):
-    return G.frame_metric(t.frames.filter("freq = 'N' and trial = 2"), ["trial", "t_idx"], "closeness")
+    return G.frame_metric(t.frames, FRAME, "closeness")
 
 
-for _metric, _ids in (("coreness", "G3 B19"), ("closeness", "G4"), ("betweenness", "G6"), ("efficiency", "G5"), ("louvain", "G7 G11 G21 G16")):
+for _metric, _ids in (("coreness", "G3 B19"), ("closeness", "G4"), ("betweenness", "G6"), ("efficiency", "G5"), ("louvain", "G7 G16")):
 
     def _plan(t: Tables, metric=_metric):
         return G.frame_metric(t.frames, FRAME, metric)

@@ -95,3 +95,29 @@ def test_sessions_that_are_not_there_are_skipped(spark, tmp_path):
     assert read_sessions(spark, paths[1:2], "id long, session int").count() == 0
     with pytest.raises(FileNotFoundError):
         read_sessions(spark, paths[1:2])
+
+
+def test_trial_coherence_and_cross_frequency_against_numpy(spark, signals):
+    rows, df = signals
+    tf = P.time_frequency(df, ["trial", "node"], 200.0, [20.0, 45.0]).cache()
+    z = {(r.trial, r.node, r.freq, r.t_idx): complex(r.re, r.im) for r in tf.collect()}
+    freqs, times = sorted({k[2] for k in z}), sorted({k[3] for k in z})
+    got = {(r.freq, r.t_idx, r.src, r.dst): r.coherence for r in P.coherence(tf, ["trial", "freq"], "node", by=["freq", "t_idx"]).collect()}
+    assert len(got) == len(freqs) * len(times) * 3
+    for (f, t, a, b), c in got.items():
+        x, y = (np.array([z[k, n, f, t] for k in range(6)]) for n in (a, b))
+        assert c == pytest.approx(abs((x * y.conj()).mean()) ** 2 / ((abs(x) ** 2).mean() * (abs(y) ** 2).mean()))
+    for r in P.cross_frequency(tf, ["trial", "node"]).collect():
+        x, y = (np.array([z[r.trial, r.node, f, t] for t in times]) for f in (r.fa, r.fb))
+        assert r.r == pytest.approx(np.corrcoef(abs(x), abs(y))[0, 1]) and r.plv == pytest.approx(abs(np.exp(1j * (np.angle(x) - np.angle(y))).mean()))
+
+
+def test_rate_modulation_index_tells_stimuli_apart(spark):
+    from axonframe.plans import REGISTRY
+
+    class Fixture:
+        act = spark.createDataFrame([(n, "f", t, k, int(n == 1 and t % 2 == 0)) for n in (0, 1) for t in range(40) for k in range(3)], "node long, freq string, trial long, t_idx long, active long")
+        trials = spark.createDataFrame([(t, t % 2) for t in range(40)], "trial long, stim long")
+
+    got = {r.node: r.rmi for r in REGISTRY["rate_modulation_index"].plan(Fixture).collect()}
+    assert got == {0: 0.0, 1: 1.0}
