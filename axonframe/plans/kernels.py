@@ -69,12 +69,7 @@ def _(t: Tables):
 def _(t: Tables):
     """The 95th percentile, over seeds and trials, of the coherence of signals whose phases
     are drawn for each one alone."""
-    some = None
-    for seed in range(5):
-        drawn = P.phase_randomised(_signals(t), ["trial", "node"], seed, trial=["trial", "node"])
-        c = P.coherence(P.time_frequency(drawn, ["trial", "node"], FS, FREQS), ["trial", "freq"], "node")
-        some = c if some is None else some.unionByName(c)
-    return some.groupBy("freq", "src", "dst").agg(F.percentile("coherence", F.lit(0.95)).alias("threshold"))
+    return P.surrogate_coherence_quantile(_signals(t), ["trial", "node"], FS, FREQS, 5, 0.95)
 
 
 @query("plv", "K7 W15 C16", "trial:long freq:double src:long dst:long plv:double")

@@ -121,3 +121,46 @@ def test_rate_modulation_index_tells_stimuli_apart(spark):
 
     got = {r.node: r.rmi for r in REGISTRY["rate_modulation_index"].plan(Fixture).collect()}
     assert got == {0: 0.0, 1: 1.0}
+
+
+def test_surrogate_thresholds_whole_and_without_rows_of_samples(spark):
+    from axonframe.plans import REGISTRY
+    from axonframe.plans.kernels import FREQS, FS, _signals
+
+    rng = np.random.default_rng(8)
+    rows = [(v, rng.normal(size=64).astype("f4").tolist()) for v in range(-5, 63) if v not in (17, 44)]
+    rows += [(12, rng.normal(size=64).tolist()), (70, [0.0] * 64), (71, [1.0] * 64), (79, [0.0] * 64), (None, [1.0] * 64)]
+    rows += [(v, rows[8][1]) for v in range(80, 90)]  # copies
+    schema = "vec_id long, embedding array<float>"
+    keys = ["trial", "node"]
+
+    class Fixture:
+        embeddings = spark.createDataFrame(rows, schema).repartition(3)
+        table = staticmethod(lambda name: Fixture.embeddings)
+
+    def found(df):
+        return {(r.freq, r.src, r.dst): r.threshold for r in df.collect()}
+
+    def plain(signals, seeds, share):
+        some = None
+        for seed in range(seeds):
+            drawn = P.phase_randomised(signals, keys, seed, trial=keys)
+            c = P.coherence(P.time_frequency(drawn, keys, FS, FREQS), ["trial", "freq"], "node")
+            some = c if some is None else some.unionByName(c)
+        return found(some.groupBy("freq", "src", "dst").agg(F.percentile("coherence", F.lit(share)).alias("threshold")))
+
+    want = plain(_signals(Fixture), 5, 0.95)
+    Fixture.embeddings = Fixture.embeddings.union(spark.createDataFrame([(5, None)], schema))  # takes no part
+    df = REGISTRY["coherence_surrogates"].plan(Fixture)
+    assert found(df) == pytest.approx(want, abs=1e-9) and len(want) > 180
+    # Every sample of every pair and seed was a row that moved before.
+    assert "t_idx" not in df._jdf.queryExecution().executedPlan().toString()
+    # Undefined and NaN coherences, and all alike.
+    odd = [(t, n, [0.0] * 16 if n == 2 else [float("nan")] * 16 if n == 3 and t < 4 else [1.0] + [0.0] * 15) for t in range(5) for n in range(4)]
+    odd = spark.createDataFrame(odd, "trial long, node long, signal array<double>")
+    got, want = found(P.surrogate_coherence_quantile(odd, keys, FS, FREQS, 2, 0.5)), plain(odd, 2, 0.5)
+    assert got.keys() == want.keys() and len(got) == 24
+    for k, v in want.items():
+        assert v is got[k] is None or got[k] == pytest.approx(v, abs=1e-9, nan_ok=True)
+    assert None in want.values() and any(v is not None and np.isnan(v) for v in want.values())
+    assert found(P.surrogate_coherence_quantile(odd.limit(0), keys, FS, FREQS, 2, 0.5)) == {}
