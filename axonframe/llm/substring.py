@@ -40,6 +40,8 @@ LINE, SENTENCE = 6, 4
 STOPS, CLOSERS = tuple(".!?…。！？।؟"), "\"'”’»)]}"
 #: Characters of text that are hashed at a time, and words that a worker keeps with their hash.
 CHUNK, MOST_WORDS = 1 << 20, 120_000
+#: Bits of a block of a sieve, and most blocks: at most 8 MB go to each executor.
+BLOCK, MOST_BLOCKS = 1 << 16, 1 << 10
 
 #: Scripts written without blanks: each of their characters is a word.
 _UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
@@ -241,6 +243,37 @@ def _long_enough(docs: DataFrame, least_words: int) -> DataFrame:
     return _identified(docs).filter(F.length("text") >= least_words)
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, bit) to one row a block, with its bits as bytes."""
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        block, bit = (c.to_numpy() for c in batch.columns)
+        order = np.argsort(block, kind="stable")
+        names, first = np.unique(block[order], return_index=True)
+        for b, bits in zip(names.tolist(), np.split(bit[order], first[1:])):
+            np.bitwise_or.at(held.setdefault(b, np.zeros(BLOCK // 8, dtype=np.uint8)), bits >> 3, (1 << (bits & 7)).astype(np.uint8))
+    for b, bits in held.items():
+        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([bits.tobytes()], pa.binary())], ["block", "bits"])
+
+
+def sieved(slim: DataFrame, asked: DataFrame, most_blocks: int = MOST_BLOCKS) -> DataFrame:
+    """The documents of ``slim`` that may be among ``asked`` (a_id, a_key; checkpointed), so
+    that others' texts need not move to be joined. Each asked one has a bit, of 16 or more
+    for each up to ``most_blocks`` blocks; beyond these more of the others come through, and
+    none that is asked ever goes."""
+    blocks = 1
+    many = asked.count()
+    while blocks < most_blocks and blocks * BLOCK < 16 * many:
+        blocks *= 2
+    place = lambda *key: F.pmod(F.xxhash64(*key, F.lit(0)), F.lit(blocks * BLOCK))
+    at = asked.select(place("a_id", "a_key").alias("place")).select(F.floor(F.col("place") / BLOCK).alias("block"), (F.col("place") % BLOCK).alias("bit"))
+    table = at.repartition("block").mapInArrow(_blocks, "block long, bits binary").withColumnRenamed("block", "its_block")
+    own = slim.withColumn("place", place("doc_id", "doc_key"))
+    there = own.join(F.broadcast(table), F.floor(F.col("place") / BLOCK) == F.col("its_block"))
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(F.col("place") % BLOCK / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return there.filter(F.floor(byte / F.pow(F.lit(2), F.col("place") % 8)) % 2 == 1).select(*slim.columns)
+
+
 def matches(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, doc_key, found): for each document of ``docs`` its matches with earlier
     places, not yet extended, with ``least_words`` words of the earlier place around them."""
@@ -264,7 +297,7 @@ def matches(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     asked = runs.select("kept", "kept_key", F.explode(ends).alias("place")).distinct()
     asked = asked.groupBy(F.col("kept").alias("doc_id"), F.col("kept_key").alias("doc_key")).agg(F.collect_list("place").alias("places"))
     asked = cut(asked.select(F.col("doc_id").alias("a_id"), F.col("doc_key").alias("a_key"), "places"))
-    held = slim.join(asked, slim["doc_id"].eqNullSafe(asked["a_id"]) & (slim["doc_key"] == asked["a_key"])).select("doc_id", "doc_key", "text", "places")
+    held = sieved(slim, asked).join(asked, F.col("doc_id").eqNullSafe(F.col("a_id")) & (F.col("doc_key") == F.col("a_key"))).select("doc_id", "doc_key", "text", "places")
     around = held.mapInArrow(released(_context(least_words)), "doc_id long, doc_key long, place int, before binary, after binary")
     around = around.groupBy("doc_id", "doc_key", "place").agg(F.first("before").alias("before"), F.first("after").alias("after"))
     around = cut(around)
@@ -304,7 +337,7 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFr
     Very long texts: read whole. Empty table: no rows. Other columns: ignored."""
     slim, found = _long_enough(docs, least_words), matches(docs, least_words)
     found = found.withColumnsRenamed({"doc_id": "a_id", "doc_key": "a_key"})
-    held = slim.join(found, slim["doc_id"].eqNullSafe(found["a_id"]) & (slim["doc_key"] == found["a_key"])).select("doc_id", "doc_key", "text", "found")
+    held = sieved(slim, found).join(found, F.col("doc_id").eqNullSafe(F.col("a_id")) & (F.col("doc_key") == F.col("a_key"))).select("doc_id", "doc_key", "text", "found")
     return held.mapInArrow(released(_spans(least_words)), "doc_id long, start long, end long, n_words long, kept_doc_id long, kept_word long, doc_key long")
 
 

@@ -299,6 +299,26 @@ def test_repeated_passages_edges(spark):
     assert substring.repeated_passages(df.limit(0)).count() == 0 == substring.without_repeats(df.limit(0)).count()
 
 
+def test_only_texts_that_may_match_move(spark):
+    docs = spark.createDataFrame([(i if i % 7 else None, f"text {i}") for i in range(3000)] + [(5, "text 5")], "doc_id long, text string")
+    slim = substring._identified(docs).repartition(3)
+    some = slim.filter("text like '%11%' or text = 'text 5'").select(slim["doc_id"].alias("a_id"), slim["doc_key"].alias("a_key")).localCheckpoint()
+    want = {(r.doc_id, r.text) for r in docs.filter("text like '%11%' or text = 'text 5'").collect()}
+    assert any(d is None for d, _ in want)
+    for blocks in (1, 4):
+        got = substring.sieved(slim, some, blocks)
+        assert got.columns == slim.columns
+        rows = [(r.doc_id, r.text) for r in got.collect()]
+        assert want <= set(rows) and rows.count((5, "text 5")) == 2 and len(rows) < len(want) + 60
+    assert substring.sieved(slim, some.limit(0).localCheckpoint()).count() == 0
+    many = slim.select(slim["doc_id"].alias("a_id"), slim["doc_key"].alias("a_key")).localCheckpoint()
+    assert substring.sieved(slim, many, 4).count() == 3001
+    # Every text moved to be joined with what was found before.
+    passage = " ".join(f"word{i}" for i in range(60))
+    df = substring.repeated_passages(spark.createDataFrame([(1, passage), (2, "a " + passage)], "doc_id long, text string"))
+    assert "its_block" in df._jdf.queryExecution().executedPlan().toString() and df.count() == 1
+
+
 def test_nearest_scores_are_of_the_original_doubles(spark):
     x = [(i, [1.0 + i * 1e-9, 2.0, 1e-60 if i == 3 else 0.5]) for i in range(0, 12)] + [(50, [1e-60, 0.0, 0.0])]
     got = {(r.query_id, r.vec_id): r.score for r in ann.nearest(spark.createDataFrame(x, "vec_id long, embedding array<double>"), queries="vec_id = 0").collect()}
