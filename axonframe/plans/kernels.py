@@ -16,10 +16,14 @@ from .registry import query
 FS, FREQS = 64.0, [4.0, 8.0, 12.0, 16.0]
 
 
-def _signals(t: Tables):
+def _stored_signals(t: Tables):
     """Embeddings as 64-sample signals: node within label groups of ten."""
     e = t.table("embeddings")
-    return e.select(F.floor(F.col("vec_id") / 10).cast("long").alias("trial"), (F.col("vec_id") % 10).cast("long").alias("node"), F.col("embedding").cast("array<double>").alias("signal"))
+    return e.select(F.floor(F.col("vec_id") / 10).cast("long").alias("trial"), (F.col("vec_id") % 10).cast("long").alias("node"), F.col("embedding").alias("signal"))
+
+
+def _signals(t: Tables):
+    return _stored_signals(t).withColumn("signal", F.col("signal").cast("array<double>"))
 
 
 @query("signal_energy", "K3", "trial:long node:long energy:double", "SELECT vec_id // 10 AS trial, vec_id % 10 AS node, list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) AS energy FROM embeddings")
@@ -69,7 +73,7 @@ def _(t: Tables):
 def _(t: Tables):
     """The 95th percentile, over seeds and trials, of the coherence of signals whose phases
     are drawn for each one alone."""
-    return P.surrogate_coherence_quantile(_signals(t), ["trial", "node"], FS, FREQS, 5, 0.95)
+    return P.surrogate_coherence_quantile(_stored_signals(t), ["trial", "node"], FS, FREQS, 5, 0.95)
 
 
 @query("plv", "K7 W15 C16", "trial:long freq:double src:long dst:long plv:double")
