@@ -254,13 +254,14 @@ class MergeTransducer:
             count[live] += emitted
         return count
 
-    def encode_many(self, words: list[bytes], mark_end: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """Encodings of ``words``, side by side: (tokens, number of tokens of each word).
+    def encode_many(self, data: np.ndarray, sizes: np.ndarray, mark_end: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Encodings of the words of ``sizes`` bytes that stand one after another in ``data``,
+        side by side: (tokens, number of tokens of each word).
         All words take a step of the transducer together; encodings are then read back
         from the ends together, so a word may have fewer symbols than states are kept.
         Words are taken by length, so memory follows the text."""
-        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        counts = np.zeros(len(words), dtype=np.int64)
+        begin = np.cumsum(sizes) - sizes
+        counts = np.zeros(len(sizes), dtype=np.int64)
         parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         order = np.argsort(sizes, kind="stable")
         ranked = sizes[order]
@@ -269,8 +270,10 @@ class MergeTransducer:
             till = min(at + 50_000, int(np.searchsorted(ranked, max(16, 2 * ranked[at]), side="right")))
             chosen = order[at:till]
             longest = int(sizes[chosen[-1]])
-            block = np.frombuffer(b"".join([words[i].ljust(longest, b"\0") for i in chosen]), dtype=np.uint8).reshape(-1, longest).astype(np.int16)
             n = sizes[chosen]
+            block = np.zeros((len(chosen), longest), dtype=np.int16)
+            own = np.repeat(begin[chosen] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            block[np.arange(longest) < n[:, None]] = data[own]
             if mark_end:
                 block[np.arange(len(n)), n - 1] += END
             tokens, count = self._encode_block(block, n)

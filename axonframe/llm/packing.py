@@ -28,30 +28,58 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import keeps, released, text_of
+from .common import keeps, released
 from .merges import Memo, MergeTransducer
 
 #: Words of Latin-1 letters, then ASCII signs other than digits and the quote.
 LETTERS_AND_SIGNS = r"([A-Za-zÀ-ÖØ-öø-ÿ]{1,%d})([!-&(-/:-@\[-`{-~]*)"
 
-#: Bound on the words that a worker keeps with their ids; words of more letters than the
-#: second are left to the library.
-MOST_WORDS, LONGEST = 120_000, 20_000
+#: Bound on the strings that a worker keeps with the library's ids; words of more letters
+#: than the second are left to the library.
+MOST_WORDS, LONGEST = 20_000, 20_000
 #: A word on each line: its letters and signs, or all of it.
 LINES = re.compile(f"(?m)^(?:{LETTERS_AND_SIGNS % LONGEST}|(.+))$")
+#: Bytes of text that are taken apart at once; longer texts are cut at blanks.
+BLOCK = 4 << 20
+
+
+def _bytes(pattern: str) -> np.ndarray:
+    """Which ASCII bytes ``pattern`` matches, by byte."""
+    return np.array([b < 128 and bool(re.match(pattern, chr(b))) for b in range(256)])
+
+
+BLANK, UPPER, LETTER, SIGN = map(_bytes, (r"[ \t-\r]", "[A-Z]", "[A-Za-z]", r"[!-&(-/:-@\[-`{-~]"))
+
+
+def _places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of segments, one segment after another."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _distinct(data: np.ndarray, sizes: np.ndarray) -> tuple[pa.LargeBinaryArray, np.ndarray]:
+    """Distinct strings among those of ``sizes`` in ``data``, and which of them each one is."""
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    coded = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(data)]).dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy()
+
+
+def _opened(strings: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of strings without nulls, and where each begins and the last ends."""
+    _, ends, data = strings.buffers()
+    at = np.frombuffer(ends, np.int64, len(strings) + 1, 8 * strings.offset) if len(strings) else np.zeros(1, np.int64)
+    return np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8), at
 
 
 class WordIds:
     """Token ids of whole texts, by blank-separated word.
 
     The tokenizer drops white space before it merges, so a text's ids are its words' ids
-    one after another, kept as two-byte numbers. Words of Latin letters go through the
-    compiled merges; all others, and texts with control characters on which blanks are
-    disputed, go to the tokenizers library itself.
+    one after another, kept as two-byte numbers. A block's texts are taken apart as bytes,
+    at the six ASCII blanks, and each distinct word is encoded once. Words of Latin letters
+    go through the compiled merges; all others go to the tokenizers library itself.
     """
 
-    DISPUTED = "\x1c\x1d\x1e\x1f"
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -65,36 +93,86 @@ class WordIds:
         if any(LINES.fullmatch(t)[1] for t in self.special):
             raise ValueError("a special string looks like a word with its closing signs")
         self.mark_end = bool(model["end_of_word_suffix"])
-        self.memo = Memo(self._words, MOST_WORDS)
-        self.marks: dict[str, bytes] = {"": b""}
-
-    def _library(self, text: str) -> bytes:
-        return np.asarray(self.library.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        # All words at once, one a line: letters in lower case, signs, or what is neither.
-        letters, signs, others = zip(*LINES.findall("\n".join(words))) if words else ((), (), ())
-        bases = "\n".join(letters).lower().encode().split(b"\n") if words else []
-        number = dict(zip(unique := dict.fromkeys(bases), range(len(bases))))
-        tokens, counts = self.machine.encode_many(list(unique), mark_end=self.mark_end)
-        ids, ends = tokens.astype("<u2").tobytes(), (2 * np.cumsum(counts)).tolist()
-        own = [ids[a:b] for a, b in zip([0, *ends], ends)]
+        self.memo = Memo(self._library, MOST_WORDS)
+
+    def _library(self, words: list[bytes]) -> list[np.ndarray]:
+        return [np.asarray(self.library.encode(w.decode(), add_special_tokens=False).ids, dtype="<u2") for w in words]
+
+    def _words(self, words: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, side by side, and the number of each."""
+        raw, at = _opened(words)
+        starts, sizes = at[:-1], np.diff(at)
+        letter, low = LETTER[raw], raw + (UPPER[raw] << 5).astype(np.uint8)
+        lead = np.flatnonzero(raw[:-1] == 0xC3)  # À to ÿ but for two signs; capitals end before ß
+        lead = lead[(raw[lead + 1] >= 0x80) & (raw[lead + 1] != 0x97) & (raw[lead + 1] != 0xB7)]
+        letter[lead] = letter[lead + 1] = True
+        low[lead + 1] += np.where(raw[lead + 1] < 0x9F, np.uint8(32), np.uint8(0))
+        again = np.concatenate([[False], letter[1:] > letter[:-1]])  # letters after something else
+        again[starts] = False
+        letters, signs, broken = (np.add.reduceat(x.astype(np.int64), starts) for x in (letter, SIGN[raw], again))
+        plain = (letters > 0) & (letters + signs == sizes) & (broken == 0)
+        for i in np.flatnonzero(plain & (letters > 100)):
+            plain[i] = LINES.fullmatch(words[i].as_py().decode())[1] is not None
+        bases, base = _distinct(low[_places(starts[plain], letters[plain])], letters[plain])
         # No letters before them can change the ids of ASCII signs without a quote.
-        for s in set(signs).difference(self.marks):
-            self.marks[s] = self._library(s)
-        out = [own[number[b]] + self.marks[s] for b, s in zip(bases, signs)]
-        for i, w in enumerate(others):
-            if w:
-                out[i] = self._library(w)
-        if len(self.marks) > MOST_WORDS:
-            self.marks = {"": b""}
-        return out
+        marks, mark = _distinct(raw[_places((starts + letters)[plain], signs[plain])], signs[plain])
+        data, ends = _opened(bases)
+        tokens, counts = self.machine.encode_many(data[ends[0] : ends[-1]], np.diff(ends), mark_end=self.mark_end)
+        others = [*marks.to_pylist(), *words.filter(pa.array(~plain)).to_pylist(), b""]
+        self.memo.fill(set(others))
+        found = list(map(self.memo.__getitem__, others))
+        tokens = np.concatenate([tokens.astype("<u2"), *found])
+        counts = np.concatenate([counts, np.fromiter(map(len, found), np.int64, len(found))])
+        # A word is its base and its mark, or one of the others and nothing.
+        parts = np.full((len(words), 2), len(counts) - 1)
+        parts[plain, 0], parts[plain, 1] = base, len(bases) + mark
+        parts[~plain, 0] = np.arange(len(bases) + len(marks), len(counts) - 1)
+        return tokens[_places((np.cumsum(counts) - counts)[parts.ravel()], counts[parts.ravel()])], counts[parts].sum(axis=1)
+
+    def _block(self, data: np.ndarray, at: np.ndarray) -> list[bytes]:
+        """Ids of the texts of ``data`` that begin and end at ``at``."""
+        solid = ~BLANK[data]
+        first = np.concatenate([[False], solid])[:-1] < solid
+        begins = at[:-1][at[:-1] < len(data)]
+        first[begins] = solid[begins]
+        words = np.searchsorted(np.flatnonzero(first), at)
+        if not words[-1]:
+            return [b""] * (len(at) - 1)
+        kept = data[solid]
+        distinct, which = _distinct(kept, np.diff(np.flatnonzero(first[solid]), append=len(kept)))
+        tokens, counts = self._words(distinct)
+        starts, counts = (np.cumsum(counts) - counts)[which], counts[which]
+        ids = tokens[_places(starts, counts)].tobytes()
+        cuts = (2 * np.concatenate([[0], np.cumsum(counts)])[words]).tolist()
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def each(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of each text (null: empty), in turn."""
+        data, at = _opened(texts.cast(pa.large_binary()).fill_null(b""))
+        i = 0
+        while i + 1 < len(at):
+            j = max(i + 1, int(np.searchsorted(at, at[i] + BLOCK, side="right")) - 1)
+            if at[j] - at[i] <= BLOCK:
+                yield from self._block(data[at[i] : at[j]], at[i : j + 1] - at[i])
+            else:
+                yield b"".join(self._block(part, np.array([0, len(part)]))[0] for part in self._cut(data[at[i] : at[j]]))
+            i = j
+
+    def _cut(self, data: np.ndarray) -> Iterator[np.ndarray]:
+        """A long text in parts that end with a blank, of BLOCK bytes unless a word is longer."""
+        at = 0
+        while at < len(data):
+            end, step = len(data), BLOCK
+            while at + step < len(data):
+                if len(blanks := np.flatnonzero(BLANK[data[at : at + step]])):
+                    end = at + int(blanks[-1]) + 1
+                    break
+                step *= 2
+            yield data[at:end]
+            at = end
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        self.memo.fill(set().union(*split))
-        ids = self.memo.__getitem__
-        return [self._library(t) if any(c in t for c in self.DISPUTED) else b"".join(map(ids, words)) for t, words in zip(texts, split)]
+        return list(self.each(pa.array(texts, pa.large_string())))
 
 
 _WORDS: dict[str, WordIds] = {}
@@ -244,11 +322,9 @@ def _packed(path: str, closing: int, capacity: int, block_tokens: int, with_ids:
             )
 
         for batch in batches:
-            docs, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(docs), 256):
-                for doc, ids in zip(docs[at : at + 256], encode(list(map(text_of, texts.slice(at, 256).to_pylist())))):
-                    held.append((doc, ids + end, len(ids) // 2 + 1, 0))
-                    tokens += len(ids) // 2 + 1
+            for doc, ids in zip(batch.column(0).to_pylist(), encode.each(batch.column(1))):
+                held.append((doc, ids + end, len(ids) // 2 + 1, 0))
+                tokens += len(ids) // 2 + 1
                 if tokens > block_tokens:
                     yield flush(False)
         yield flush(True)

@@ -161,3 +161,34 @@ def test_words_too_long_to_compile_have_the_librarys_ids(monkeypatch):
     path = vocabulary("word_bpe_49k.json")
     text = "short " + "abcde" * 30 + "! " + "é" * 70
     assert np.frombuffer(packing.WordIds(path)([text])[0], "<u2").tolist() == plain(path, text)
+
+
+@pytest.mark.parametrize("block", [1, 7, 40, 4 << 20])
+def test_blocks_of_bytes_have_the_librarys_ids(monkeypatch, block):
+    """Odd blanks, all letters of Latin-1, signs beside them; texts longer than a block."""
+    monkeypatch.setattr(packing, "BLOCK", block, raising=False)
+    path = vocabulary("word_bpe_49k.json")
+    library, words = Tokenizer.from_file(path), packing.words_of(path)
+    rng = random.Random(block)
+    odd = [*" \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0  　́×÷µª", *map(chr, range(0xC0, 0x100)), *"aZ.,'%1_`~Ã日ſK", "<|endoftext|>", "<|ENDOFTEXT|>"]
+    texts = ["".join(rng.choice(odd) for _ in range(rng.randint(0, 30))) for _ in range(1500)] + ["", "  ", "a", "é", "", "Ãé! " * 40]
+    assert [np.frombuffer(b, "<u2").tolist() for b in words(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_words_of_letters_are_not_kept():
+    """Distinct words of letters are encoded anew in each block, together: a worker keeps
+    states of the merges and the library's few strings, whatever the number of words."""
+    words = packing.WordIds(vocabulary("word_bpe_49k.json"))
+    rng = random.Random(11)
+    words([" ".join("".join(rng.choice("aeiourstlnÉ") for _ in range(rng.randint(1, 12))) + "," for _ in range(500)) for _ in range(10)])
+    assert len(words.memo) < 10
+
+
+def test_bound_on_letters_holds(monkeypatch):
+    path = vocabulary("word_bpe_49k.json")
+    words, seen = packing.WordIds(path), []
+    compiled = words.machine.encode_many
+    monkeypatch.setattr(words.machine, "encode_many", lambda data, sizes, **k: seen.extend(sizes.tolist()) or compiled(data, sizes, **k))
+    text = "a" * packing.LONGEST + " " + "é" * packing.LONGEST + ", " + "b" * (packing.LONGEST + 1) + " c"
+    assert np.frombuffer(words([text])[0], "<u2").tolist() == plain(path, text)
+    assert sorted(seen) == [1, packing.LONGEST, 2 * packing.LONGEST]
