@@ -70,29 +70,41 @@ def keeps(module: str, clear: Callable[[], None]) -> None:
     _KEPT[module] = clear
 
 
+def give_back() -> None:
+    """Gives memory that is free back to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def released(run):
-    """``run`` (a function over Arrow batches) that gives its memory back to the system when
-    a partition ends: workers live on, and share their executor's memory with the next.
-    What other operators keep in the worker goes when it begins."""
+    """``run`` (a function over Arrow batches) that gives its memory back to the system after
+    each batch, before the next is read beside the last, and when a partition ends: workers
+    live on, and share their executor's memory with the next. What other operators keep in
+    the worker goes when it begins."""
+
+    def handed(batches):
+        for batch in batches:
+            yield batch
+            give_back()
 
     def wrapped(batches):
         for module, clear in _KEPT.items():
             if module != run.__module__:
                 clear()
         try:
-            yield from run(batches)
+            yield from run(handed(batches))
         finally:
-            import ctypes
             import gc
 
-            import pyarrow as pa
-
             gc.collect()
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (AttributeError, OSError):  # not glibc
-                pass
+            give_back()
 
     return wrapped
 

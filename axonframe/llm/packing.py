@@ -40,7 +40,7 @@ MOST_WORDS, LONGEST = 20_000, 20_000
 #: A word on each line: its letters and signs, or all of it.
 LINES = re.compile(f"(?m)^(?:{LETTERS_AND_SIGNS % LONGEST}|(.+))$")
 #: Bytes of text that are taken apart at once; longer texts are cut at blanks.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 
 
 def _bytes(pattern: str) -> np.ndarray:

@@ -192,3 +192,18 @@ def test_bound_on_letters_holds(monkeypatch):
     text = "a" * packing.LONGEST + " " + "é" * packing.LONGEST + ", " + "b" * (packing.LONGEST + 1) + " c"
     assert np.frombuffer(words([text])[0], "<u2").tolist() == plain(path, text)
     assert sorted(seen) == [1, packing.LONGEST, 2 * packing.LONGEST]
+
+
+def test_memory_is_given_back_between_batches(monkeypatch):
+    from axonframe.llm import common
+
+    seen = []
+    monkeypatch.setattr(common, "give_back", lambda: seen.append("given back"), raising=False)
+
+    def run(batches):
+        for b in batches:
+            seen.append(b)
+            yield b
+
+    assert list(common.released(run)(iter([1, 2]))) == [1, 2]
+    assert seen == [1, "given back", 2, "given back", "given back"]
